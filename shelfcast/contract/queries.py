@@ -19,7 +19,7 @@ from shelfcast.operators.cleaning import explode_errors
 from shelfcast.operators.daily import gold_daily_sales, strict_daily_sales, type_transactions
 from shelfcast.operators.profile import item_profile
 from shelfcast.plans import daily_model, direct_models
-from shelfcast.session import reliable_checkpoint, work_folder
+from shelfcast.session import work_folder, written_table
 from shelfcast.sources.raw_csv import read_ids, read_raw, read_transactions, read_wide_forecast
 from shelfcast.sources.runs import RunStore
 from shelfcast.sources.tables import TableStore
@@ -57,6 +57,15 @@ def rounded(frame: DataFrame) -> DataFrame:
     )
 
 
+def _daily(spark, sf, grain: str = "brand") -> DataFrame:
+    """Strict daily sales as a table: most queries read it several times, the transactions only once."""
+    return written_table(tx.strict_daily(spark, sf, grain))
+
+
+def _gold(spark, sf, grain: str = "brand") -> DataFrame:
+    return written_table(tx.gold(spark, sf, grain))
+
+
 # -- cleaning and daily tables ------------------------------------------------------------------------
 
 
@@ -106,7 +115,7 @@ def strict_daily(spark, sf):
 
 
 def gold_quality_report(spark, sf):
-    silver = tx.silver_from_text(spark, sf)
+    silver = written_table(tx.silver_from_text(spark, sf).drop("transformed_at"))
     return quality.gold_quality(silver, gold_daily_sales(silver))
 
 
@@ -143,16 +152,16 @@ def typed_csv_load(spark, sf):
 
 
 def sku_profile_asof(spark, sf):
-    return rounded(item_profile(tx.strict_daily(spark, sf), TRAIN_END))
+    return rounded(item_profile(_daily(spark, sf), TRAIN_END))
 
 
 def sku_profile_asof_part(spark, sf):
-    return rounded(item_profile(tx.strict_daily(spark, sf, "part"), TRAIN_END))
+    return rounded(item_profile(_daily(spark, sf, "part"), TRAIN_END))
 
 
 def _selected(strategy: str) -> Query:
     def query(spark, sf):
-        profile = item_profile(tx.strict_daily(spark, sf, "part"), TRAIN_END)
+        profile = item_profile(_daily(spark, sf, "part"), TRAIN_END)
         chosen = selection.select_items(profile, strategy, TOP, min_active_days=15, max_days_since_last_sale=180)
         return rounded(chosen.select("item_code", "total_profit", "active_days", "days_since_last_sale"))
 
@@ -160,22 +169,22 @@ def _selected(strategy: str) -> Query:
 
 
 def top_volume_skus(spark, sf):
-    return selection.top_volume_items(tx.gold(spark, sf, "part"), TOP)
+    return selection.top_volume_items(_gold(spark, sf, "part"), TOP)
 
 
 def active_skus(spark, sf):
-    return selection.active_items(tx.gold(spark, sf, "part"), 56)
+    return selection.active_items(_gold(spark, sf, "part"), 56)
 
 
 def gold_window(spark, sf):
-    return rounded(selection.gold_window(tx.gold(spark, sf), TRAIN_END, 200))
+    return rounded(selection.gold_window(_gold(spark, sf), TRAIN_END, 200))
 
 
 # -- panels and features ------------------------------------------------------------------------------
 
 
 def _panel(spark, sf) -> DataFrame:
-    gold = tx.gold(spark, sf)
+    gold = _gold(spark, sf)
     return panel.training_panel(gold, selection.top_volume_items(gold, TOP), TOP)
 
 
@@ -184,7 +193,7 @@ def dense_panel_top20(spark, sf):
 
 
 def demand_matrix(spark, sf):
-    return panel.demand_panel(tx.strict_daily(spark, sf))
+    return panel.demand_panel(_daily(spark, sf))
 
 
 def _features(*columns: str) -> Query:
@@ -195,7 +204,7 @@ def _features(*columns: str) -> Query:
 
 
 def _training_frame(spark, sf) -> DataFrame:
-    return frames.training_frame(tx.gold(spark, sf), "v1", TOP, 60, 56)
+    return frames.training_frame(_gold(spark, sf), "v1", TOP, 60, 56)
 
 
 def training_frame(spark, sf):
@@ -208,26 +217,26 @@ def feature_quality_report(spark, sf):
 
 def inference_frame(spark, sf):
     """All parts active in the last 200 days, features from sparse rows."""
-    gold = tx.gold(spark, sf, "part")
+    gold = _gold(spark, sf, "part")
     items = selection.active_items(gold, 200)
     window = selection.gold_window(gold, TRAIN_END, 200)
     return rounded(frames.inference_frame(window, items, TRAIN_END, 7))
 
 
 def inference_frame_brand(spark, sf):
-    gold = tx.gold(spark, sf)
+    gold = _gold(spark, sf)
     items = selection.active_items(gold, 730)
     return rounded(frames.inference_frame(selection.gold_window(gold, TRAIN_END, 730), items, TRAIN_END, 56))
 
 
 def time_split_counts(spark, sf):
-    return daily_model.training_split_sizes(_training_frame(spark, sf), 28)
+    return daily_model.training_split_sizes(written_table(_training_frame(spark, sf)), 28)
 
 
 def training_skus(spark, sf):
     """Writes two feature versions, then lists the items of one."""
     store = TableStore(spark, work_folder(spark))
-    gold = tx.gold(spark, sf)
+    gold = _gold(spark, sf)
     for version, size in (("v1", TOP), ("v2", 5)):
         store.replace_slice("features", frames.training_frame(gold, version, size, 2, 3))
     return selection.training_items(store.read("features"), "v2")
@@ -238,17 +247,17 @@ def training_skus(spark, sf):
 
 def _baseline(model: str) -> Query:
     def query(spark, sf):
-        return rounded(baselines.baseline_forecast(tx.strict_daily(spark, sf), TRAIN_END, model))
+        return rounded(baselines.baseline_forecast(_daily(spark, sf), TRAIN_END, model))
 
     return query
 
 
 def rmsse_denominator(spark, sf):
-    return rounded(scoring.rmsse_denominators(tx.strict_daily(spark, sf, "part"), TRAIN_END))
+    return rounded(scoring.rmsse_denominators(_daily(spark, sf, "part"), TRAIN_END))
 
 
 def _scores(spark, sf) -> DataFrame:
-    daily = tx.strict_daily(spark, sf)
+    daily = _daily(spark, sf)
     forecast = baselines.baseline_forecast(daily, TRAIN_END, "mean_28")
     return scoring.wrmsse_by_item(daily, forecast, item_profile(daily, TRAIN_END), TRAIN_END)
 
@@ -262,19 +271,19 @@ def wrmsse_total(spark, sf):
 
 
 def baseline_cv(spark, sf):
-    return rounded(scoring.backtest_baselines(tx.strict_daily(spark, sf), LAST_DATE))
+    return rounded(scoring.backtest_baselines(_daily(spark, sf), LAST_DATE))
 
 
 def baseline_cv_part(spark, sf):
-    return rounded(scoring.backtest_baselines(tx.strict_daily(spark, sf, "part"), LAST_DATE))
+    return rounded(scoring.backtest_baselines(_daily(spark, sf, "part"), LAST_DATE))
 
 
 def baseline_cv_summary(spark, sf):
-    return rounded(scoring.summarize_backtest(scoring.backtest_baselines(tx.strict_daily(spark, sf), LAST_DATE)))
+    return rounded(scoring.summarize_backtest(scoring.backtest_baselines(_daily(spark, sf), LAST_DATE)))
 
 
 def _validation(spark, sf) -> DataFrame:
-    _, validation = frames.time_split(_training_frame(spark, sf), 28)
+    _, validation = frames.time_split(written_table(_training_frame(spark, sf)), 28)
     return baselines.frame_baselines(validation)
 
 
@@ -305,12 +314,12 @@ def registration_rule(spark, sf):
 
 
 def sunday_zero(spark, sf):
-    forecast = baselines.baseline_forecast(tx.strict_daily(spark, sf), TRAIN_END, "mean_28")
+    forecast = baselines.baseline_forecast(_daily(spark, sf), TRAIN_END, "mean_28")
     return rounded(postprocess.zero_sundays(forecast))
 
 
 def end_of_selling_zero(spark, sf):
-    daily = tx.strict_daily(spark, sf, "part")
+    daily = _daily(spark, sf, "part")
     forecast = baselines.baseline_forecast(daily, "2000-12-31", "mean_56")
     ruled = postprocess.zero_ended_items(forecast, daily, ENDED_SINCE, TRAIN_END)
     return rounded(
@@ -319,12 +328,12 @@ def end_of_selling_zero(spark, sf):
 
 
 def weekday_reference(spark, sf):
-    daily = tx.strict_daily(spark, sf)
+    daily = _daily(spark, sf)
     return rounded(postprocess.weekday_reference(daily, RULES, TRAIN_END, month_since="1998-01-01"))
 
 
 def key_sku_adjust(spark, sf):
-    daily = tx.strict_daily(spark, sf)
+    daily = _daily(spark, sf)
     forecast = postprocess.apply_rules(
         baselines.baseline_forecast(daily, TRAIN_END, "mean_56"), daily, TRAIN_END, True, ENDED_SINCE
     )
@@ -332,23 +341,23 @@ def key_sku_adjust(spark, sf):
     return rounded(postprocess.adjust_key_items(forecast, reference, max_rows=56 * len(RULES)))
 
 
-def _weekday_forecast(spark, sf) -> DataFrame:
-    return baselines.baseline_forecast(tx.strict_daily(spark, sf), TRAIN_END, "same_weekday_8w")
+def _weekday_forecast(daily: DataFrame) -> DataFrame:
+    return baselines.baseline_forecast(daily, TRAIN_END, "same_weekday_8w")
 
 
 def forecast_wide(spark, sf):
-    return rounded(wide.to_wide(_weekday_forecast(spark, sf)))
+    return rounded(wide.to_wide(_weekday_forecast(_daily(spark, sf))))
 
 
 def forecast_long(spark, sf):
-    return rounded(wide.to_long(wide.to_wide(_weekday_forecast(spark, sf)), TRAIN_END))
+    return rounded(wide.to_long(wide.to_wide(_weekday_forecast(_daily(spark, sf))), TRAIN_END))
 
 
 def wide_file_check(spark, sf):
     """Exports the wide forecast as CSV, reads it back and counts what must be zero."""
     folder = work_folder(spark)
     store = TableStore(spark, folder)
-    store.save_csv("wide", wide.in_file_order(wide.to_wide(_weekday_forecast(spark, sf))))
+    store.save_csv("wide", wide.in_file_order(wide.to_wide(_weekday_forecast(_daily(spark, sf)))))
     path = store.path("exports/wide")
     covered = wide.cover_ids(read_ids(spark, path), read_wide_forecast(spark, path))
     wide.require_valid_wide(covered)
@@ -356,7 +365,7 @@ def wide_file_check(spark, sf):
 
 
 def blend_of_models(spark, sf):
-    rows = baselines.baseline_forecasts(tx.strict_daily(spark, sf), TRAIN_END)
+    rows = baselines.baseline_forecasts(_daily(spark, sf), TRAIN_END)
     long = rows.unpivot(["item_code", "target_date"], ["mean_28", "median_56", "zero"], "model", "yhat")
     return rounded(baselines.blend_forecasts(long, {"mean_28": 3.0, "median_56": 1.0}))
 
@@ -364,9 +373,8 @@ def blend_of_models(spark, sf):
 # -- hybrid forecasts, gates, serving -----------------------------------------------------------------
 
 
-def _hybrid(spark, sf, forecast_date: str) -> DataFrame:
+def _hybrid(gold: DataFrame, forecast_date: str) -> DataFrame:
     """Hybrid scoring with the 28-day mean in the model's place for the ten items sold most."""
-    gold = tx.gold(spark, sf)
     known = selection.top_volume_items(gold, 10)
     items = selection.active_items(gold, 730)
     window = selection.gold_window(gold, forecast_date, 730)
@@ -375,23 +383,26 @@ def _hybrid(spark, sf, forecast_date: str) -> DataFrame:
 
 
 def hybrid_forecast(spark, sf):
-    return rounded(_hybrid(spark, sf, TRAIN_END))
+    return rounded(_hybrid(_gold(spark, sf), TRAIN_END))
 
 
 def source_counts(spark, sf):
-    return models.source_counts(_hybrid(spark, sf, TRAIN_END))
+    return models.source_counts(_hybrid(_gold(spark, sf), TRAIN_END))
 
 
 def forecast_quality_report(spark, sf):
-    expected = selection.active_items(tx.gold(spark, sf), 730)
-    return quality.forecast_quality(_hybrid(spark, sf, TRAIN_END), expected)
+    gold = _gold(spark, sf)
+    forecast = written_table(_hybrid(gold, TRAIN_END))
+    return quality.forecast_quality(forecast, selection.active_items(gold, 730))
 
 
 def _runs(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Three runs: two successful, of which the later counts, and a failed one with the newest times."""
 
+    daily = _daily(spark, sf)
+
     def forecast(day: str) -> DataFrame:
-        rows = baselines.baseline_forecast(tx.strict_daily(spark, sf), day, "same_weekday_8w")
+        rows = baselines.baseline_forecast(daily, day, "same_weekday_8w")
         return rows.select(
             F.concat(F.lit("run-"), F.lit(day)).alias("run_id"),
             F.lit(dt.date.fromisoformat(day)).alias("forecast_date"),
@@ -447,8 +458,9 @@ def day_summary(spark, sf):
 def published_forecast(spark, sf):
     """Publishes two runs, one of them twice, and a failed one; then reads the newest run back."""
     store = RunStore(spark, work_folder(spark))
+    daily = _daily(spark, sf)
     for run, day in (("run-a", EARLIER_END), ("run-b", TRAIN_END), ("run-b", TRAIN_END)):
-        rows = baselines.baseline_forecast(tx.strict_daily(spark, sf), day, "mean_28").select(
+        rows = baselines.baseline_forecast(daily, day, "mean_28").select(
             F.lit(dt.date.fromisoformat(day)).alias("forecast_date"),
             "item_code",
             "target_date",
@@ -473,7 +485,7 @@ def _chosen(daily: DataFrame) -> DataFrame:
 
 
 def origin_features(spark, sf):
-    daily = tx.strict_daily(spark, sf)
+    daily = _daily(spark, sf)
     rows = direct.direct_dataset(daily, _chosen(daily), TRAIN_END, DIRECT).filter(F.col("horizon") == 1)
     columns = [c for c in rows.columns if c.startswith(("lag_", "mean_", "max_", "active_")) and c != "active_days"]
     return rounded(
@@ -482,7 +494,7 @@ def origin_features(spark, sf):
 
 
 def direct_dataset(spark, sf):
-    daily = tx.strict_daily(spark, sf)
+    daily = _daily(spark, sf)
     rows = direct.direct_dataset(daily, _chosen(daily), TRAIN_END, DIRECT)
     return rounded(
         rows.select(
@@ -495,34 +507,34 @@ def direct_dataset(spark, sf):
 
 def direct_newest_rows(spark, sf):
     """The eight newest origins' worth of validation rows, counted per origin."""
-    daily = tx.strict_daily(spark, sf)
+    daily = _daily(spark, sf)
     rows = direct.direct_dataset(daily, _chosen(daily), TRAIN_END, DIRECT, origins_end_offset=56)
     return direct.newest_rows(rows, DIRECT).groupBy("origin_date").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def direct_forecast_features(spark, sf):
-    daily = tx.strict_daily(spark, sf)
+    daily = _daily(spark, sf)
     rows = direct.forecast_features(daily, _chosen(daily), TRAIN_END, DIRECT)
     return rounded(rows.select("item_code", "origin_date", "target_date", "horizon", "lag_1", "lag_7", "mean_56", "max_112", "days_since_last_sale", "target_week"))
 
 
 def sample_weights(spark, sf):
-    daily = tx.strict_daily(spark, sf)
+    daily = _daily(spark, sf)
     return rounded(direct.sample_weights(daily, _chosen(daily), TRAIN_END))
 
 
 def alpha_grid(spark, sf):
-    daily = tx.strict_daily(spark, sf)
+    daily = _daily(spark, sf)
     profile = item_profile(daily, TRAIN_END)
     base = baselines.baseline_forecast(daily, TRAIN_END, "median_56")
-    model = selection.keep_items(_weekday_forecast(spark, sf), direct_models.choose(profile, DIRECT), DIRECT.top_n)
+    model = selection.keep_items(_weekday_forecast(daily), direct_models.choose(profile, DIRECT), DIRECT.top_n)
     return rounded(blend.blend_grid(daily, base, model, profile, TRAIN_END))
 
 
 def blended_forecast(spark, sf):
-    daily = tx.strict_daily(spark, sf)
+    daily = _daily(spark, sf)
     base = baselines.baseline_forecast(daily, TRAIN_END, "median_56")
-    model = selection.keep_items(_weekday_forecast(spark, sf), _chosen(daily), DIRECT.top_n)
+    model = selection.keep_items(_weekday_forecast(daily), _chosen(daily), DIRECT.top_n)
     return rounded(blend.blend_with_model(base, model, 0.6))
 
 
@@ -530,8 +542,8 @@ def blended_forecast(spark, sf):
 
 
 def l1_gbt_forecast(spark, sf):
-    gold = tx.gold(spark, sf)
-    frame = reliable_checkpoint(frames.training_frame(gold, "v1", 10, 30, 28))
+    gold = _gold(spark, sf)
+    frame = written_table(frames.training_frame(gold, "v1", 10, 30, 28))
     train, validation = frames.time_split(frame, 28)
     ids = models.item_ids(frame)
     settings = models.DailyModelSettings(max_iter=5, max_depth=3)
@@ -542,12 +554,12 @@ def l1_gbt_forecast(spark, sf):
 
 
 def two_stage_forecast(spark, sf):
-    daily = reliable_checkpoint(tx.strict_daily(spark, sf))
+    daily = _daily(spark, sf)
     return direct_models.forecast_future(daily, TRAIN_END, DIRECT, [0.6])[0.6]
 
 
 def tweedie_forecast(spark, sf):
-    daily = reliable_checkpoint(tx.strict_daily(spark, sf))
+    daily = _daily(spark, sf)
     items = _chosen(daily)
     model = models.fit_tweedie(direct.direct_dataset(daily, items, TRAIN_END, DIRECT), DIRECT)
     rows = model.predict(direct.forecast_features(daily, items, TRAIN_END, DIRECT))
@@ -555,12 +567,12 @@ def tweedie_forecast(spark, sf):
 
 
 def two_stage_evaluation(spark, sf):
-    daily = reliable_checkpoint(tx.strict_daily(spark, sf))
+    daily = _daily(spark, sf)
     return direct_models.evaluate(daily, TRAIN_END, DIRECT).scores
 
 
 def recursive_forecast(spark, sf):
-    daily = reliable_checkpoint(tx.strict_daily(spark, sf))
+    daily = _daily(spark, sf)
     profile = item_profile(daily, TRAIN_END)
     items = direct_models.choose(profile, DIRECT)
     model = direct_models.fit_for(daily, items, profile, TRAIN_END, TRAIN_END, DIRECT, "two_stage")
@@ -569,7 +581,7 @@ def recursive_forecast(spark, sf):
 
 def recursive_median(spark, sf):
     """The recursion with alpha 0: every item follows its own 56-day median."""
-    daily = tx.strict_daily(spark, sf)
+    daily = _daily(spark, sf)
     nobody = item_profile(daily, TRAIN_END).limit(0)
     return rounded(recursive.recursive_forecast(daily, nobody, None, TRAIN_END, DIRECT, 0.0))
 
@@ -577,7 +589,7 @@ def recursive_median(spark, sf):
 def mean_forecast_of_selected(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: cleaned text transactions to profile, selection and a Sunday-free 56-day mean forecast."""
     silver = tx.silver_from_text(spark, sf, faults=False).filter("is_valid")
-    daily = strict_daily_sales(
+    daily = written_table(strict_daily_sales(
         silver.select(
             "date",
             "item_code",
@@ -589,7 +601,7 @@ def mean_forecast_of_selected(spark: SparkSession, sf: str) -> DataFrame:
             F.col("quantity").alias("net_qty"),
             (F.col("sales_amount") - F.col("cost_amount")).alias("profit"),
         )
-    )
+    ))
     chosen = selection.select_items(item_profile(daily, TRAIN_END), "active_recent_top_profit", TOP)
     forecast = baselines.baseline_forecast(daily, TRAIN_END, "mean_56")
     return rounded(postprocess.zero_sundays(selection.keep_items(forecast, chosen, TOP)))

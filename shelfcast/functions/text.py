@@ -9,21 +9,29 @@ from pyspark.sql import functions as F
 NUMBER_PATTERN = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
 DATE_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}$"
 ITEM_CODE_PATTERN = r"^[A-Za-z0-9._\-]{1,64}$"
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+# The characters Unicode counts as white space.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def trimmed(text: Column) -> Column:
     """Drop white space of any kind (tabs too) at both ends."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
-def plain_number(text: Column) -> Column:
-    """Dot-decimal text to double, null when it is not a number.
+def _checked_number(text: Column) -> Column:
+    """Double of a text that is a number as a whole; the check keeps out what a cast alone would take (1d, nan).
 
-    The pattern guard keeps out what a cast alone would accept (``1d``, ``nan``).
+    ``regexp_substr`` returns the text or null, so the text expression occurs, and runs, only once.
     """
-    value = trimmed(text)
-    return F.when(value.rlike(NUMBER_PATTERN), value.try_cast("double"))
+    return F.regexp_substr(text, F.lit(NUMBER_PATTERN)).try_cast("double")
+
+
+def plain_number(text: Column) -> Column:
+    """Dot-decimal text to double, null when it is not a number."""
+    return _checked_number(trimmed(text))
 
 
 def vn_decimal(text: Column) -> Column:
@@ -31,8 +39,7 @@ def vn_decimal(text: Column) -> Column:
 
     Dots are thousands separators and always dropped, so ``62.5`` gives 625.
     """
-    value = F.translate(trimmed(text), ",. ", ".")
-    return F.when(value.rlike(NUMBER_PATTERN), value.try_cast("double"))
+    return _checked_number(F.translate(trimmed(text), ",. ", "."))
 
 
 def integer_number(text: Column) -> Column:
@@ -43,12 +50,12 @@ def integer_number(text: Column) -> Column:
 
 def item_code(text: Column) -> Column:
     """P2. Upper case without any white space; empty becomes null."""
-    return F.nullif(F.regexp_replace(F.upper(text), r"(?U)\s+", ""), F.lit(""))
+    return F.nullif(F.translate(F.upper(text), WHITE_SPACE, ""), F.lit(""))
 
 
 def iso_date(text: Column) -> Column:
     """P3. Year-month-day text to date. One-digit months and days are fine, edge spaces are not."""
-    return F.when(text.rlike(DATE_PATTERN), F.try_to_date(text, "yyyy-M-d"))
+    return F.regexp_substr(text, F.lit(DATE_PATTERN)).try_cast("date")
 
 
 def trimmed_iso_date(text: Column) -> Column:

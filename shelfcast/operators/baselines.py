@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shelfcast.config import BLEND_WEIGHTS, MAX_HORIZON, NEVER_SOLD_DAYS
 from shelfcast.functions.dates import to_day, with_horizons
 from shelfcast.functions.numbers import median_with_zeros, positive_part
-from shelfcast.session import broadcast_if_bounded, scalar
+from shelfcast.session import broadcast_if_bounded, scalar, spread
 
 MODELS = [
     "zero",
@@ -44,7 +44,10 @@ def cut_statistics(
     look_back = max(window, 7 * weeks)
     cuts = F.array(*[F.lit(to_day(cut)) for cut in train_ends])
     rows = (
-        daily.select("item_code", "date", F.col("sales_qty").cast("double").alias("sales_qty"), "profit")
+        spread(
+            daily.select("item_code", "date", F.col("sales_qty").cast("double").alias("sales_qty"), "profit"),
+            "item_code",
+        )
         .withColumn(
             "_next",
             F.expr(

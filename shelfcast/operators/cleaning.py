@@ -52,11 +52,10 @@ def to_silver(bronze: DataFrame) -> DataFrame:
         loose_return(F.col("quantity")).alias("is_return"),
     )
     checked = ["date", "item_code", "quantity", "unit_price", "sales_amount", "unit_cost", "cost_amount"]
-    reason = error_reason(*[F.col(c) for c in checked])
-    return typed.select(
-        "*",
-        reason.isNull().alias("is_valid"),
-        reason.alias("error_reason"),
+    return typed.select("*", error_reason(*[F.col(c) for c in checked]).alias("error_reason")).select(
+        *typed.columns,
+        F.col("error_reason").isNull().alias("is_valid"),
+        "error_reason",
         F.current_timestamp().alias("transformed_at"),
     )
 

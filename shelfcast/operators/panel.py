@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.dates import as_date
 from shelfcast.operators.selection import keep_items
-from shelfcast.session import scalar
+from shelfcast.session import scalar, spread
 
 GOLD_MEASURES = {"quantity_sold": 0.0, "return_quantity": 0.0, "avg_unit_price": None}
 
@@ -49,7 +49,7 @@ def _typed_gold(gold: DataFrame) -> DataFrame:
 def panel_of(kept: DataFrame) -> DataFrame:
     """Panel of all items of ``kept`` over the days ``kept`` spans."""
     first, last = scalar(kept, F.min("date")), scalar(kept, F.max("date"))
-    return fill_gaps(_typed_gold(kept), first, last, GOLD_MEASURES)
+    return fill_gaps(spread(_typed_gold(kept), "item_code"), first, last, GOLD_MEASURES)
 
 
 def training_panel(gold: DataFrame, items: DataFrame, max_items: int | None = None) -> DataFrame:
@@ -59,7 +59,8 @@ def training_panel(gold: DataFrame, items: DataFrame, max_items: int | None = No
 
 def listed_gold(gold: DataFrame, items: DataFrame) -> DataFrame:
     """Gold rows of every listed item; an item without rows keeps one row with a null date."""
-    return items.select("item_code").distinct().join(_typed_gold(gold), "item_code", "left")
+    listed = spread(items.select("item_code").distinct(), "item_code")
+    return listed.join(spread(_typed_gold(gold), "item_code"), "item_code", "left")
 
 
 def inference_panel(gold: DataFrame, items: DataFrame, forecast_date) -> DataFrame:
@@ -89,5 +90,6 @@ def demand_panel(
     universe = items if items is not None else daily
     if items is not None and max_items is not None:
         rows = keep_items(rows, items, max_items)
-    rows = universe.select("item_code").distinct().join(rows, "item_code", "left")
+    listed = spread(universe.select("item_code").distinct(), "item_code")
+    rows = listed.join(spread(rows, "item_code"), "item_code", "left")
     return fill_gaps(rows, first, last, {"qty": 0.0})

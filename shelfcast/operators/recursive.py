@@ -131,14 +131,16 @@ def recursive_forecast(
     """M17. Forecast one day at a time; the blended, rule-checked value becomes history for the next day.
 
     Selected items blend the model with the 56-day median, all others take the median and never meet the
-    model. Any positive forecast counts as a sale for recency and activity. Returns (item_code, target_date,
+    model. Without a model ``items`` must be empty. Any positive forecast counts as a sale for recency and activity. Returns (item_code, target_date,
     horizon, yhat).
     """
     start = to_day(train_end)
     state = reliable_checkpoint(_history_state(daily, items, start, cfg))
-    chosen = _roll(state.filter(F.col("item_id").isNotNull()), model, start, cfg, alpha)
     rest = _roll(state.filter(F.col("item_id").isNull()), None, start, cfg, alpha)
-    return chosen.unionByName(rest).select(
+    if model is not None:
+        chosen = _roll(state.filter(F.col("item_id").isNotNull()), model, start, cfg, alpha)
+        rest = rest.unionByName(chosen)
+    return rest.select(
         "item_code",
         F.date_add(as_date(start), F.col("_place") + 1).alias("target_date"),
         (F.col("_place") + 1).alias("horizon"),

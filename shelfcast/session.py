@@ -24,6 +24,8 @@ def build_session(app_name: str = "shelfcast", master: str | None = None, **conf
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # The JVM does not compile methods above 8,000 bytes; wide projections run faster split up.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if master:
         builder = builder.master(master)
@@ -61,3 +63,23 @@ def scalar(frame: DataFrame, expression: Column) -> Column:
 def work_folder(spark: SparkSession) -> str:
     """A new folder for tables a job writes and reads back, next to the checkpoints (shared on a cluster)."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def written_table(frame: DataFrame) -> DataFrame:
+    """Write ``frame`` as Parquet to the shared work folder and read it back.
+
+    Cuts the lineage like a checkpoint, and later reads still prune columns and push filters down. For results
+    that several branches of a job use.
+    """
+    path = f"{work_folder(frame.sparkSession)}/table"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
+def spread(frame: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into exactly ``spark.sql.shuffle.partitions`` parts.
+
+    For steps that multiply rows after the shuffle (gap filling, forecast days): adaptive execution would
+    size the parts by the small input and leave the multiplied work to few tasks.
+    """
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

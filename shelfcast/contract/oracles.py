@@ -353,17 +353,21 @@ def reference() -> tuple[str, ...]:
     )
 
 
-HYBRID = (
-    tx(),
-    GOLD,
-    top_volume(10),
-    inference_panel(CUT, 730),
-    *history(),
-    inference(56),
-    """hybrid AS (SELECT forecast_date, item_code, target_date, horizon,
+def hybrid(grain: str, lookback: int, modelled: int) -> tuple[str, ...]:
+    return (
+        tx(grain),
+        GOLD,
+        top_volume(modelled),
+        inference_panel(CUT, lookback),
+        *history(),
+        inference(56),
+        """hybrid AS (SELECT forecast_date, item_code, target_date, horizon,
     CASE WHEN item_code IN (SELECT item_code FROM top) THEN greatest(rolling_mean_28, 0) ELSE greatest(lag_7, 0) END AS predicted_quantity,
     CASE WHEN item_code IN (SELECT item_code FROM top) THEN 'gbt' ELSE 'seasonal_naive_lag_7' END AS prediction_source FROM inference)""",
-)
+    )
+
+
+HYBRID = hybrid("brand", 730, 10)
 
 
 def runs() -> tuple[str, ...]:
@@ -615,6 +619,7 @@ LEFT JOIN (SELECT item_code, target_date, alpha, reference FROM reference) USING
     + """SELECT CAST(0 AS BIGINT) AS null_rows, CAST(0 AS BIGINT) AS negative_rows, CAST(0 AS BIGINT) AS items_without_56_horizons,
   CAST(0 AS BIGINT) AS items_with_duplicates, count(DISTINCT item_code) AS items FROM daily""",
     "hybrid_forecast": rounded(with_(*HYBRID) + "SELECT * FROM hybrid", "predicted_quantity"),
+    "hybrid_forecast_part": rounded(with_(*hybrid("part", 200, 100)) + "SELECT * FROM hybrid", "predicted_quantity"),
     "source_counts": with_(*HYBRID) + "SELECT prediction_source, count(*) AS rows FROM hybrid GROUP BY prediction_source",
     "forecast_quality_report": with_(*HYBRID)
     + """SELECT count(*) AS rows, count(DISTINCT item_code) AS skus, (SELECT count(*) FROM active) AS expected_skus,

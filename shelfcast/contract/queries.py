@@ -373,11 +373,11 @@ def blend_of_models(spark, sf):
 # -- hybrid forecasts, gates, serving -----------------------------------------------------------------
 
 
-def _hybrid(gold: DataFrame, forecast_date: str) -> DataFrame:
-    """Hybrid scoring with the 28-day mean in the model's place for the ten items sold most."""
-    known = selection.top_volume_items(gold, 10)
-    items = selection.active_items(gold, 730)
-    window = selection.gold_window(gold, forecast_date, 730)
+def _hybrid(gold: DataFrame, forecast_date: str, lookback: int = 730, modelled: int = 10) -> DataFrame:
+    """Hybrid scoring with the 28-day mean in the model's place for the items sold most."""
+    known = selection.top_volume_items(gold, modelled)
+    items = selection.active_items(gold, lookback)
+    window = selection.gold_window(gold, forecast_date, lookback)
     stand_in = SQLTransformer(statement="SELECT *, rolling_mean_28 AS _raw_prediction FROM __THIS__")
     return daily_model.forecast_rows(window, items, stand_in, models.item_ids(known), forecast_date)
 
@@ -386,6 +386,11 @@ def hybrid_forecast(spark, sf):
     return rounded(_hybrid(_gold(spark, sf), TRAIN_END))
 
 
+def hybrid_forecast_part(spark, sf):
+    """56 days for every part sold in the last 200 days, 100 of them modelled."""
+    return rounded(_hybrid(_gold(spark, sf, "part"), TRAIN_END, 200, 100))
+
+
 def source_counts(spark, sf):
     return models.source_counts(_hybrid(_gold(spark, sf), TRAIN_END))
 
@@ -680,6 +685,7 @@ QUERIES: dict[str, Query] = {
     "forecast_long": forecast_long,
     "wide_file_check": wide_file_check,
     "hybrid_forecast": hybrid_forecast,
+    "hybrid_forecast_part": hybrid_forecast_part,
     "source_counts": source_counts,
     "forecast_quality_report": forecast_quality_report,
     "latest_run": latest_run,

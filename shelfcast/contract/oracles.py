@@ -45,7 +45,7 @@ def with_(*ctes: str) -> str:
 
 
 def cents(amount: str) -> str:
-    return f"CAST(round(abs({amount}) * 100) AS BIGINT)"
+    return f"CAST(floor(abs({amount}) * 100 + 0.5e0) AS BIGINT)"
 
 
 def tx(grain: str = "brand") -> str:

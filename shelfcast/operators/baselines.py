@@ -138,7 +138,8 @@ def with_baselines(
 ) -> DataFrame:
     """B1-B6. One row per statistics row and horizon with a column per model."""
     cut = F.col("train_end")
-    span = F.datediff(cut, first_day) + 1
+    statistics = statistics.withColumn("_first_day", first_day)
+    span = F.datediff(cut, "_first_day") + 1
     recency = F.coalesce(F.datediff(cut, "last_sale"), F.lit(NEVER_SOLD_DAYS))
     base = statistics.withColumns(
         {
@@ -152,9 +153,11 @@ def with_baselines(
         positive_part(F.col("median_56") * sparsity_factor(F.col("active_days"), recency)),
     )
     rows = with_horizons(base, "train_end", horizon)
-    weekday = same_weekday_mean(F.col("recent"), F.col("target_date"), cut, first_day, weeks)
-    return rows.withColumn("same_weekday_8w", weekday).withColumn(
-        "blend_mean_weekday", weighted_blend(BLEND_WEIGHTS)
+    weekday = same_weekday_mean(F.col("recent"), F.col("target_date"), cut, F.col("_first_day"), weeks)
+    return (
+        rows.withColumn("same_weekday_8w", weekday)
+        .withColumn("blend_mean_weekday", weighted_blend(BLEND_WEIGHTS))
+        .drop("_first_day")
     )
 
 

@@ -123,7 +123,7 @@ def history_as_of(rows: DataFrame, as_of: Column, first_day: Column) -> DataFram
     )
     past = day < as_of
     positive = past & (quantity > 0)
-    span = F.datediff(as_of, first_day) + 1  # length of the shifted series, its first zero included
+    span = F.col("_span")  # length of the shifted series, its first zero included
 
     def recent(n: int) -> Column:
         return past & (day >= F.date_sub(as_of, n))
@@ -162,7 +162,11 @@ def history_as_of(rows: DataFrame, as_of: Column, first_day: Column) -> DataFram
         "rolling_price_mean_7": price_mean(7),
         "rolling_price_mean_28": price_mean(28),
     }
-    sums = held.groupBy("item_code").agg(*[column.alias(name) for name, column in aggregates.items()])
+    sums = (
+        held.groupBy("item_code")
+        .agg(*[column.alias(name) for name, column in aggregates.items()])
+        .withColumn("_span", F.datediff(as_of, first_day) + 1)
+    )
 
     def length(n: int) -> Column:
         return F.least(F.lit(n), span)

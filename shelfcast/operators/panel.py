@@ -85,11 +85,11 @@ def demand_panel(
     """
     first = first_day if first_day is not None else scalar(daily, F.min("date"))
     last = last_day if last_day is not None else scalar(daily, F.max("date"))
-    rows = daily.groupBy("item_code", "date").agg(F.sum(target).cast("double").alias("qty"))
-    rows = rows.filter(F.col("date").between(first, last))
+    rows = daily.filter(F.col("date").between(first, last))
     universe = items if items is not None else daily
     if items is not None and max_items is not None:
         rows = keep_items(rows, items, max_items)
+    rows = rows.groupBy("item_code", "date").agg(F.sum(target).cast("double").alias("qty"))
     listed = spread(universe.select("item_code").distinct(), "item_code")
     rows = listed.join(spread(rows, "item_code"), "item_code", "left")
     return fill_gaps(rows, first, last, {"qty": 0.0})

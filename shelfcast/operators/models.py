@@ -126,7 +126,9 @@ def source_counts(forecast: DataFrame) -> DataFrame:
 
 
 def _assembled(rows: DataFrame) -> DataFrame:
-    typed = rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in DIRECT_COLUMNS})
+    # Expression text is one call to the JVM; the recursion builds this projection at every step.
+    others = [c for c in rows.columns if c not in DIRECT_COLUMNS]
+    typed = rows.selectExpr(*others, *[f"coalesce(cast({c} AS double), 0.0D) AS {c}" for c in DIRECT_COLUMNS])
     return VectorAssembler(inputCols=DIRECT_COLUMNS, outputCol="_features").transform(typed)
 
 

@@ -16,6 +16,7 @@ from shelfcast.config import NEVER_SOLD_DAYS, ORIGIN_LAGS, ORIGIN_WINDOWS, STATI
 from shelfcast.functions.dates import as_date, to_day
 from shelfcast.functions.numbers import positive_part
 from shelfcast.operators.direct import with_item_ids
+from shelfcast.operators.postprocess import SUNDAY
 from shelfcast.session import broadcast_if_bounded, reliable_checkpoint, scalar
 
 HISTORY_DAYS = max(ORIGIN_LAGS)
@@ -43,6 +44,7 @@ def _history_state(daily: DataFrame, items: DataFrame, train_end: dt.date, cfg:
         .drop("_sold")
         .join(broadcast_if_bounded(static, cfg.top_n), "item_code", "left")
         .withColumn("span", F.datediff(cut, scalar(daily, F.min("date"))) + 1)
+        .withColumn("day", F.date_add(cut, 1))
     )
 
 
@@ -50,29 +52,27 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, value: total + value)
 
 
-def _step_features(state: DataFrame, target: dt.date) -> DataFrame:
-    """W8 at the origin ``target`` read from the array; windows are clipped at the history start."""
-    hist = F.col("hist")
+def _step_columns() -> dict[str, Column]:
+    """W8 at the origin ``day`` read from the array; windows are clipped at the history start."""
+    hist, target = F.col("hist"), F.col("day")
     columns: dict[str, Column] = {f"lag_{k}": F.element_at(hist, -k) for k in ORIGIN_LAGS}
     for n in ORIGIN_WINDOWS:
         window = F.slice(hist, -n, n)
         columns[f"mean_{n}"] = _sum(window) / F.least(F.lit(n), F.col("span"))
         columns[f"max_{n}"] = F.array_max(window)
         columns[f"active_{n}"] = F.size(F.filter(window, lambda v: v > 0)).cast("double")
-    day_before = target - dt.timedelta(days=1)
+    recency = F.datediff(F.date_sub(target, 1), "last_sale")
     columns |= {
-        "days_since_last_sale": F.coalesce(
-            F.datediff(F.lit(day_before), "last_sale"), F.lit(NEVER_SOLD_DAYS)
-        ).cast("double"),
-        "origin_dow": F.lit(target.weekday()),
-        "origin_month": F.lit(target.month),
+        "days_since_last_sale": F.coalesce(recency, F.lit(NEVER_SOLD_DAYS)).cast("double"),
+        "origin_dow": F.weekday(target),
+        "origin_month": F.month(target),
         "horizon": F.lit(1),
-        "target_dow": F.lit(target.weekday()),
-        "target_day": F.lit(target.day),
-        "target_month": F.lit(target.month),
-        "target_week": F.lit(target.isocalendar().week),
+        "target_dow": F.weekday(target),
+        "target_day": F.dayofmonth(target),
+        "target_month": F.month(target),
+        "target_week": F.weekofyear(target),
     }
-    return state.withColumns(columns)
+    return columns
 
 
 def _median_56(hist: Column, span: Column) -> Column:
@@ -84,35 +84,35 @@ def _median_56(hist: Column, span: Column) -> Column:
     return (F.element_at(ordered, low) + F.element_at(ordered, high)) / 2.0
 
 
-def _roll(state: DataFrame, model, start: dt.date, cfg: DirectConfig, alpha: float) -> DataFrame:
-    """Append ``cfg.horizon`` days to every item's history; without a model the value is the median alone."""
-    carried = state.columns
-    ends = to_day(cfg.end_of_selling_since) if cfg.end_of_selling_since else None
+def _roll(state: DataFrame, model, cfg: DirectConfig, alpha: float) -> DataFrame:
+    """Append ``cfg.horizon`` days to every item's history; without a model the value is the median alone.
+
+    The day to forecast is a column, so all steps share their expressions and one generated program.
+    """
+    carried, target = state.columns, F.col("day")
+    median = _median_56(F.col("hist"), F.col("span"))
+    value = median if model is None else F.lit(alpha) * F.col("yhat") + F.lit(1.0 - alpha) * median
+    value = positive_part(value)
+    if cfg.zero_sundays:
+        value = F.when(F.weekday(target) == SUNDAY, F.lit(0.0)).otherwise(value)
+    added = F.col("_value")
+    if cfg.end_of_selling_since:
+        since = as_date(cfg.end_of_selling_since)
+        ended = (since < target) & (F.col("sold_since") == 0)
+        value = F.when(ended, F.lit(0.0)).otherwise(value)
+        added = F.when(since <= target, added).otherwise(F.lit(0.0))
+    moved = {
+        "hist": F.concat(F.slice("hist", 2, HISTORY_DAYS - 1), F.array("_value")),
+        "last_sale": F.when(F.col("_value") > 0, target).otherwise(F.col("last_sale")),
+        "sold_since": F.col("sold_since") + added,
+        "span": F.col("span") + 1,
+        "day": F.date_add(target, 1),
+    }
+    features = _step_columns()
+    next_state = [moved.get(c, F.col(c)).alias(c) for c in carried]
     for step in range(1, cfg.horizon + 1):
-        target = start + dt.timedelta(days=step)
-        value = _median_56(F.col("hist"), F.col("span"))
-        rows = state
-        if model is not None:
-            rows = model.predict(_step_features(state, target))
-            value = F.lit(alpha) * F.col("yhat") + F.lit(1.0 - alpha) * value
-        value = positive_part(value)
-        if cfg.zero_sundays and target.weekday() == 6:
-            value = F.lit(0.0)
-        if ends and ends < target:
-            value = F.when(F.col("sold_since") == 0, F.lit(0.0)).otherwise(value)
-        added = F.col("_value") if ends is None or ends <= target else F.lit(0.0)
-        state = (
-            rows.withColumn("_value", value)
-            .withColumns(
-                {
-                    "hist": F.concat(F.slice("hist", 2, HISTORY_DAYS - 1), F.array("_value")),
-                    "last_sale": F.when(F.col("_value") > 0, F.lit(target)).otherwise(F.col("last_sale")),
-                    "sold_since": F.col("sold_since") + added,
-                    "span": F.col("span") + 1,
-                }
-            )
-            .select(*carried)
-        )
+        rows = state if model is None else model.predict(state.withColumns(features))
+        state = rows.withColumn("_value", value).select(*next_state)
         if step % CHECKPOINT_EVERY == 0 or step == cfg.horizon:
             state = reliable_checkpoint(state)
     return state.select(
@@ -136,9 +136,9 @@ def recursive_forecast(
     """
     start = to_day(train_end)
     state = reliable_checkpoint(_history_state(daily, items, start, cfg))
-    rest = _roll(state.filter(F.col("item_id").isNull()), None, start, cfg, alpha)
+    rest = _roll(state.filter(F.col("item_id").isNull()), None, cfg, alpha)
     if model is not None:
-        chosen = _roll(state.filter(F.col("item_id").isNotNull()), model, start, cfg, alpha)
+        chosen = _roll(state.filter(F.col("item_id").isNotNull()), model, cfg, alpha)
         rest = rest.unionByName(chosen)
     return rest.select(
         "item_code",

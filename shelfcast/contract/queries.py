@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.config import FEATURE_COLUMNS, HISTORY_COLUMNS, RAW_COLUMNS, DirectConfig, KeyItemRule
+from shelfcast.config import HISTORY_COLUMNS, DirectConfig, KeyItemRule
 from shelfcast.contract import transactions as tx
 from shelfcast.functions.text import vn_decimal
 from shelfcast.operators import baselines, blend, direct, frames, history, models, panel, postprocess, quality

@@ -35,11 +35,17 @@ def build_session(app_name: str = "shelfcast", master: str | None = None, **conf
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared checkpoint folder of the session; fall back to a new local one only when unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The checkpoint folder of the session, from ``spark.checkpoint.dir``.
+
+    Only a local master may go without that setting: a new local folder is used then. On a cluster each
+    executor would write to its own disk, so the lack of a shared folder is an error.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="shelfcast-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -73,7 +79,7 @@ def written_table(frame: DataFrame) -> DataFrame:
     """
     path = f"{work_folder(frame.sparkSession)}/table"
     frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def spread(frame: DataFrame, *keys: str) -> DataFrame:

@@ -153,8 +153,10 @@ def judge_quality(docs: DataFrame, labels: DataFrame, site: str = "source", sect
     own = _sigmoid(_evidence(weights) + _logit(F.lit(START_RATE)))
     rates, worth = site_rates(stats.select(_SITE, _SECTION, own.alias("own")))
     # The same built-in expressions again, beside the texts.
-    full = with_stats(sited).join(rates, [_SITE, _SECTION])
-    others = (F.lit(worth) * F.col("site_rate") + F.col("total") - own) / (F.lit(worth) + F.col("n") - 1)
+    named = {c: f"_section_{c}" for c in ("n", "total", "site_rate")}
+    full = with_stats(sited).join(rates.withColumnsRenamed(named), [_SITE, _SECTION])
+    others = F.lit(worth) * F.col("_section_site_rate") + F.col("_section_total") - own
+    others = others / (F.lit(worth) + F.col("_section_n") - 1)
     judged = full.withColumns({"_evidence": _evidence(weights), "_section_rate": others})
     judged = judged.withColumn("_quality", _sigmoid(F.col("_evidence") + _logit(F.col("_section_rate"))))
     return judged.select(*docs.columns, "_evidence", "_section_rate", "_quality")

@@ -242,7 +242,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spots = rows.filter("place >= 0").select("gram", "key", "place")
     seat = F.struct("key", "place")
     ends = spots.groupBy("gram").agg(F.min(seat).alias("lo"), F.max(seat).alias("hi"))
-    repeated = ends.filter("lo.key <> hi.key").select("gram")
+    # Written, so that both sides of the join have exchanges of their own and a very common k-gram can be split.
+    repeated = written_table(ends.filter("lo.key <> hi.key").select("gram"))
     wanted = spots.join(repeated, "gram", "left_semi").groupBy("key").agg(F.collect_set("place").alias("places"))
     wanted = wanted.join(classes.select("key", "doc_id"), "key")
     one = texts.join(wanted, "doc_id").select("text", "key", "places")

@@ -49,7 +49,9 @@ def cents(amount: str) -> str:
 
 
 def tx(grain: str = "brand") -> str:
-    item = "upper(replace(p_brand, '#', '-'))" if grain == "brand" else "'SKU-' || lpad(CAST(l_partkey AS VARCHAR), 5, '0')"
+    item = "upper(replace(p_brand, '#', '-'))" if grain == "brand" else (
+        "'SKU-' || lpad(CAST(l_partkey AS VARCHAR), CAST(greatest(5, length(CAST(l_partkey AS VARCHAR))) AS INTEGER), '0')"
+    )
     return f"""tx AS (
   SELECT CAST(l_shipdate AS DATE) AS date, l_orderkey AS stt, {item} AS item_code,
     sgn * CAST(l_quantity AS BIGINT) AS quantity,

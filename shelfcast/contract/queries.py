@@ -125,7 +125,7 @@ def csv_ingest(spark, sf):
     text = tx.as_text(tx.typed(spark, sf), faults=True)
     text.write.option("header", True).csv(f"{folder}/incoming")
     store = TableStore(spark, folder)
-    store.replace_slice("raw", read_raw(spark, f"{folder}/incoming", "batch-1"))
+    store.replace_slice("raw", read_raw(spark, f"{folder}/incoming", "batch-1"), "batch-1")
     rows = store.batch("raw", "batch-1")
     per_file = rows.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("_rows"),
@@ -238,7 +238,7 @@ def training_skus(spark, sf):
     store = TableStore(spark, work_folder(spark))
     gold = _gold(spark, sf)
     for version, size in (("v1", TOP), ("v2", 5)):
-        store.replace_slice("features", frames.training_frame(gold, version, size, 2, 3))
+        store.replace_slice("features", frames.training_frame(gold, version, size, 2, 3), version)
     return selection.training_items(store.read("features"), "v2")
 
 

@@ -24,7 +24,8 @@ def _cents(amount: Column) -> Column:
 def _item(grain: str) -> Column:
     if grain == "brand":
         return F.upper(F.replace(F.col("p_brand"), F.lit("#"), F.lit("-")))
-    return F.concat(F.lit("SKU-"), F.lpad(F.col("l_partkey").cast("string"), 5, "0"))
+    # lpad cuts what is longer than its width; keys of six digits and more must stay whole.
+    return F.concat(F.lit("SKU-"), F.expr("lpad(string(l_partkey), greatest(5, length(string(l_partkey))), '0')"))
 
 
 def typed(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:

@@ -36,7 +36,7 @@ def build_features(
     try:
         require_rows(frame, "Not enough gold history for the requested training frame")
         report = require_clean(feature_quality(frame), FEATURE_GATES, "Feature")
-        store.replace_slice("features", frame)
+        store.replace_slice("features", frame, feature_version)
     finally:
         frame.unpersist()
     return report
@@ -100,8 +100,9 @@ def run_batch_forecast(
     window = item_lookback_days if item_lookback_days is not None else lookback_days
     try:
         known = training_items(store.read("features"), feature_version)
-        items = active_items(store.gold(), window)
+        items = require_rows(active_items(store.gold(), window), "No active items to forecast")
         gold = gold_window(store.gold(), forecast_date, lookback_days)
+        require_rows(gold, "The gold window before the forecast date is empty")
         forecast = forecast_rows(gold, items, model, item_ids(known), forecast_date, max_horizon).persist()
         try:
             validation = require_clean(

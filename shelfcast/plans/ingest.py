@@ -29,13 +29,13 @@ def run_stage(spark: SparkSession, store: TableStore, source: str, batch_id: str
         return {"validated": 1}
     counts: dict[str, int] = {}
     if stage in ("raw", "all"):
-        store.replace_slice("raw", read_raw(spark, source, batch_id))
+        store.replace_slice("raw", read_raw(spark, source, batch_id), batch_id)
         counts["raw_rows"] = store.batch("raw", batch_id).count()
     if stage in ("bronze", "all"):
-        store.replace_slice("bronze", to_bronze(store.batch("raw", batch_id)))
+        store.replace_slice("bronze", to_bronze(store.batch("raw", batch_id)), batch_id)
         counts["bronze_rows"] = store.batch("bronze", batch_id).count()
     if stage in ("silver", "all"):
-        store.replace_slice("silver", to_silver(store.batch("bronze", batch_id)))
+        store.replace_slice("silver", to_silver(store.batch("bronze", batch_id)), batch_id)
         counts["silver_rows"] = store.batch("silver", batch_id).count()
     if stage in ("gold", "all"):
         gold = gold_daily_sales(store.batch("silver", batch_id)).withColumn("created_at", F.current_timestamp())

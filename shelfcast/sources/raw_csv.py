@@ -27,12 +27,13 @@ def read_raw(spark: SparkSession, path: str, batch_id: str, multi_line: bool = F
     """S2. All fields as text plus lineage; ``source_row_number`` is 1..n in file order.
 
     Rows are numbered without a global sort: each file split knows its start offset, so the number is the
-    place in the split plus the row counts of the earlier splits of the same file. Empty fields are "".
+    place in the split plus the row counts of the earlier splits of the same file. Empty fields are "". The header of
+    the first file is checked at once, that of every other file when it is read.
     """
     check_header(spark, path)
     rows = (
         spark.read.schema(_text_schema(RAW_COLUMNS))
-        .options(header=True, multiLine=multi_line, quote='"', escape='"', nullValue=None)
+        .options(header=True, enforceSchema=False, multiLine=multi_line, quote='"', escape='"', nullValue=None)
         .csv(path)
         .select(
             F.col("_metadata.file_path").alias("_path"),
@@ -71,7 +72,7 @@ def read_transactions(spark: SparkSession, path: str, amounts: str = "infer") ->
     decimals) or ``infer``, which looks at every value of each column once, as a typed CSV read would.
     """
     check_header(spark, path)
-    text = spark.read.schema(_text_schema(RAW_COLUMNS)).options(header=True, quote='"', escape='"').csv(path)
+    text = spark.read.schema(_text_schema(RAW_COLUMNS)).options(header=True, enforceSchema=False, quote='"', escape='"').csv(path)
     return type_transactions(text, amounts)
 
 
@@ -85,7 +86,7 @@ def read_wide_forecast(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType(
         [T.StructField("id", T.StringType())] + [T.StructField(c, T.DoubleType()) for c in VALUE_COLUMNS]
     )
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).options(header=True, enforceSchema=False).csv(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +38,18 @@ class TableStore:
             return False
         return True
 
-    def replace_slice(self, table: str, frame: DataFrame) -> None:
-        """K1, K3. Replace only the partitions that ``frame`` holds (one batch or feature version)."""
+    def replace_slice(self, table: str, frame: DataFrame, key: str) -> None:
+        """K1, K3. Replace one batch or feature version by ``frame``; an empty frame leaves it empty.
+
+        A row of another slice makes the write fail.
+        """
         partition = PARTITION_COLUMNS[table]
-        writer = frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(partition).parquet(self.path(table))
+        if not re.fullmatch(r"[\w.-]+", key):
+            raise ValueError(f"Not a slice name: {key!r}")
+        foreign = F.raise_error(F.lit(f"a row of another {partition} than {key}")).cast("boolean")
+        own = frame.filter(F.when(F.col(partition).eqNullSafe(F.lit(key)), F.lit(True)).otherwise(foreign))
+        writer = own.drop(partition).write.mode("overwrite").option("partitionOverwriteMode", "static")
+        writer.parquet(f"{self.path(table)}/{partition}={key}")
 
     def replace_all(self, table: str, frame: DataFrame) -> None:
         """K2. Replace the whole table, so gold holds only the batch processed last."""

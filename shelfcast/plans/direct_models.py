@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,9 +64,13 @@ def fit_for(daily: DataFrame, items: DataFrame, profile: DataFrame, fit_day, val
     return fit_two_stage(train, held_out, cfg)
 
 
-def evaluate(daily: DataFrame, train_end: str | dt.date, cfg: DirectConfig, family: str = "two_stage") -> Evaluation:
+def evaluate(
+    daily: DataFrame, train_end: str | dt.date, cfg: DirectConfig, family: str = "two_stage", run_name: str | None = None
+) -> Evaluation:
     """M15 (two_stage) and M11 (tweedie). Fit one horizon earlier, forecast after ``train_end``, pick alpha.
 
+    The caller names the run (the family if not); the scores carry all settings as JSON.
+
     The two-stage family applies the business rules to baseline and blend; the tweedie family does not.
     """
     fit_day = fit_end(train_end, cfg.horizon)
@@ -104,7 +109,9 @@ def evaluate(daily: DataFrame, train_end: str | dt.date, cfg: DirectConfig, fami
     by_item = wrmsse_by_item(daily, chosen, weights, train_end, cfg.horizon)
     only_top = wrmsse(wrmsse_by_item(daily, chosen, weights, train_end, cfg.horizon, only_items=items))
     summary = wrmsse(by_item).select(
-        F.lit(cfg.run_name(family, str(train_end))).alias("run_name"),
+        F.lit(run_name or family).alias("run_name"),
+        F.lit(str(train_end)).alias("train_end"),
+        F.lit(json.dumps(asdict(cfg))).alias("settings"),
         F.lit(float(baseline_score)).alias("baseline_wrmsse"),
         F.col("wrmsse").alias("hybrid_wrmsse"),
         only_top.scalar().alias("selected_items_wrmsse"),

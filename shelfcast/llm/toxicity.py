@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm.language_id import held_out
 from shelfcast.llm.words import Words, mix, text_slices
-from shelfcast.session import written_table
+from shelfcast.session import broadcast_if_bounded, written_table
 
 MAX_TRAIN_DOCS = 20_000
 MAX_TERMS = 1_000
@@ -250,7 +250,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, may_learn=None) -> DataFrame:
     known = known.filter(may_learn) if may_learn is not None else known
     marks = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN_DOCS)
-    train = texts.join(sample, "doc_id").select("doc_id", "text", "toxic").mapInArrow(
+    # The sample's size is bounded, so the texts stay where they are.
+    train = texts.join(broadcast_if_bounded(sample, MAX_TRAIN_DOCS), "doc_id").select("doc_id", "text", "toxic").mapInArrow(
         _sketches, "doc_id long, text string, toxic int, sketch long"
     )
     # A text copied fifty times is one witness, else its own words look like signs of its label.

@@ -419,19 +419,35 @@ def origins() -> tuple[str, ...]:
 
 
 def direct_rows(offset: int = 0) -> tuple[str, ...]:
-    start = f"(SELECT greatest(364, datediff('day', min(date), {CUT} - {DIRECT.origin_lookback_days})) FROM daily)"
-    last = f"(SELECT datediff('day', min(date), {CUT} - {offset}) FROM daily)"
     return (
         *daily(),
         DEMAND,
         profile(),
         CHOSEN,
         *origins(),
-        f"""direct AS (SELECT f.*, CAST(g.h AS INTEGER) AS horizon, CAST(f.origin_date + CAST(g.h AS INTEGER) - 1 AS DATE) AS target_date,
-    d.qty AS target
-  FROM featured f CROSS JOIN (SELECT unnest(generate_series(1, 56)) AS h) g
-  JOIN demand d ON d.item_code = f.item_code AND d.date = f.origin_date + CAST(g.h AS INTEGER) - 1 AND d.date <= {CUT}
-  WHERE f.pos BETWEEN {start} AND {last} AND (f.pos - {start}) % {DIRECT.origin_stride} = 0)""",
+        f"""bounds AS MATERIALIZED (SELECT greatest(364, datediff('day', min(date), {CUT} - {DIRECT.origin_lookback_days})) AS lo,
+    datediff('day', min(date), {CUT} - {offset}) AS hi FROM daily)""",
+        # The few origins first; only then their horizons.
+        f"""picked AS MATERIALIZED (SELECT f.* FROM featured f, bounds
+  WHERE f.pos BETWEEN lo AND hi AND (f.pos - lo) % {DIRECT.origin_stride} = 0)""",
+        f"""targets AS MATERIALIZED (SELECT item_code, date AS target_date, qty AS target FROM demand
+  WHERE date <= {CUT} AND item_code IN (SELECT item_code FROM chosen))""",
+        """direct AS MATERIALIZED (SELECT p.*, CAST(datediff('day', p.origin_date, t.target_date) + 1 AS INTEGER) AS horizon, t.target_date, t.target
+  FROM picked p JOIN targets t ON t.item_code = p.item_code AND t.target_date BETWEEN p.origin_date AND p.origin_date + 55)""",
+    )
+
+
+def recursion() -> tuple[str, ...]:
+    """Days after the cut, one by one: the median of the last 56 days, which the new day then joins."""
+    return (
+        f"""begun AS (SELECT item_code, list(qty ORDER BY date) FILTER (date > {CUT} - 56) AS recent,
+    coalesce(sum(qty) FILTER (date >= DATE '{ENDED_SINCE}'), 0e0) AS sold
+  FROM demand WHERE date <= {CUT} GROUP BY item_code)""",
+        f"""rolled AS (SELECT item_code, CAST(0 AS INTEGER) AS place, CAST(0 AS DOUBLE) AS yhat, recent, sold FROM begun
+  UNION ALL
+  SELECT item_code, place + 1, y, list_append(recent[2:], y), sold + y
+  FROM (SELECT *, CASE WHEN isodow(CAST({CUT} + place + 1 AS DATE)) = 7 OR sold = 0 THEN 0e0
+      ELSE greatest(list_aggregate(recent, 'median'), 0e0) END AS y FROM rolled WHERE place < {DIRECT.horizon}))""",
     )
 
 
@@ -693,6 +709,12 @@ FROM (SELECT a, b.item_code, avg(({GRID_MODEL} - d.qty) ** 2) AS mse
 JOIN scale USING (item_code) JOIN profile USING (item_code) GROUP BY a""",
         "alpha", "wrmsse_56",
     ),
+    "recursive_median": rounded(
+        with_(*daily(), DEMAND, *recursion()).replace("WITH ", "WITH RECURSIVE ", 1)
+        + f"""SELECT item_code, CAST({CUT} + place AS DATE) AS target_date, place AS horizon, yhat
+FROM rolled WHERE place > 0""",
+        "yhat",
+    ),
     "blended_forecast": rounded(
         with_(*daily(), DEMAND, profile(), CHOSEN, *baselines())
         + f"SELECT item_code, target_date, horizon, {GRID_MODEL} AS yhat FROM base b CROSS JOIN (SELECT 0.6e0 AS a)",

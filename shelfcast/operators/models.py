@@ -106,15 +106,20 @@ def predict_with_fallback(
     """
     matrix = model_matrix(frame, ids, max_items)
     known = F.col("item_code_id") >= 0
-    scored = model.transform(matrix)
-    return scored.withColumns(
+    # The model meets its own items only; of all others the plan reads little more than lag 7.
+    scored = model.transform(matrix.filter(known)).withColumns(
         {
-            "predicted_quantity": F.when(known, positive_part(F.col("_raw_prediction"))).otherwise(
-                positive_part(F.coalesce("lag_7", F.lit(0.0)))
-            ),
-            "prediction_source": F.when(known, F.lit(SOURCE_MODEL)).otherwise(F.lit(SOURCE_FALLBACK)),
+            "predicted_quantity": positive_part(F.col("_raw_prediction")),
+            "prediction_source": F.lit(SOURCE_MODEL),
         }
-    ).drop("_raw_prediction", "_features")
+    )
+    others = matrix.filter(~known).withColumns(
+        {
+            "predicted_quantity": positive_part(F.coalesce("lag_7", F.lit(0.0))),
+            "prediction_source": F.lit(SOURCE_FALLBACK),
+        }
+    )
+    return scored.drop("_raw_prediction", "_features").unionByName(others)
 
 
 def source_counts(forecast: DataFrame) -> DataFrame:
@@ -197,20 +202,23 @@ class TweedieModel:
 
 def fit_tweedie(train: DataFrame, cfg: DirectConfig) -> TweedieModel:
     """M11. Single-stage Tweedie regression, variance power 1.2, log link, weighted rows."""
-    rows = _assembled(train.filter(F.col("sample_weight") > 0))
-    return TweedieModel(
-        GeneralizedLinearRegression(
-            family="tweedie",
-            variancePower=1.2,
-            linkPower=0.0,
-            featuresCol="_features",
-            labelCol="target",
-            weightCol="sample_weight",
-            predictionCol="_quantity",
-            regParam=2.0,
-            maxIter=cfg.max_iter,
-        ).fit(rows)
-    )
+    rows = _assembled(train.filter(F.col("sample_weight") > 0)).persist()  # the solver reads them in every iteration
+    try:
+        return TweedieModel(
+            GeneralizedLinearRegression(
+                family="tweedie",
+                variancePower=1.2,
+                linkPower=0.0,
+                featuresCol="_features",
+                labelCol="target",
+                weightCol="sample_weight",
+                predictionCol="_quantity",
+                regParam=2.0,
+                maxIter=cfg.max_iter,
+            ).fit(rows)
+        )
+    finally:
+        rows.unpersist()
 
 
 def feature_importances(model: TwoStageModel, spark) -> DataFrame:

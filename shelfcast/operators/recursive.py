@@ -84,14 +84,15 @@ def _median_56(hist: Column, span: Column) -> Column:
     return (F.element_at(ordered, low) + F.element_at(ordered, high)) / 2.0
 
 
-def _roll(state: DataFrame, model, cfg: DirectConfig, alpha: float) -> DataFrame:
+def _roll(state: DataFrame, model, cfg: DirectConfig) -> DataFrame:
     """Append ``cfg.horizon`` days to every item's history; without a model the value is the median alone.
 
-    The day to forecast is a column, so all steps share their expressions and one generated program.
+    The day to forecast and the model's share ``alpha`` are columns, so all steps and shares have their expressions and
+    one generated program in common.
     """
     carried, target = state.columns, F.col("day")
     median = _median_56(F.col("hist"), F.col("span"))
-    value = median if model is None else F.lit(alpha) * F.col("yhat") + F.lit(1.0 - alpha) * median
+    value = median if model is None else F.col("alpha") * F.col("yhat") + (1.0 - F.col("alpha")) * median
     value = positive_part(value)
     if cfg.zero_sundays:
         value = F.when(F.weekday(target) == SUNDAY, F.lit(0.0)).otherwise(value)
@@ -115,34 +116,51 @@ def _roll(state: DataFrame, model, cfg: DirectConfig, alpha: float) -> DataFrame
         state = rows.withColumn("_value", value).select(*next_state)
         if step % CHECKPOINT_EVERY == 0 or step == cfg.horizon:
             state = reliable_checkpoint(state)
-    return state.select(
-        "item_code", F.posexplode(F.slice("hist", -cfg.horizon, cfg.horizon)).alias("_place", "yhat")
-    )
+    kept = [c for c in ("item_code", "alpha") if c in carried]
+    return state.select(*kept, F.posexplode(F.slice("hist", -cfg.horizon, cfg.horizon)).alias("_place", "yhat"))
 
 
-def recursive_forecast(
+def recursive_forecasts(
     daily: DataFrame,
     items: DataFrame,
     model,
     train_end: str | dt.date,
     cfg: DirectConfig,
-    alpha: float,
+    alphas: list[float],
 ) -> DataFrame:
-    """M17. Forecast one day at a time; the blended, rule-checked value becomes history for the next day.
+    """M17 for several shares of the model at once: (alpha, item_code, target_date, horizon, yhat).
 
-    Selected items blend the model with the 56-day median, all others take the median and never meet the
-    model. Without a model ``items`` must be empty. Any positive forecast counts as a sale for recency and activity. Returns (item_code, target_date,
-    horizon, yhat).
+    The state is built once. Items without a model do not depend on alpha, so they are rolled once, whatever the
+    number of shares; only the selected items are rolled per share.
     """
     start = to_day(train_end)
+    shares = F.explode(F.array(*[F.lit(float(a)) for a in alphas]))
     state = reliable_checkpoint(_history_state(daily, items, start, cfg))
-    rest = _roll(state.filter(F.col("item_id").isNull()), None, cfg, alpha)
+    rolled = _roll(state.filter(F.col("item_id").isNull()), None, cfg).withColumn("alpha", shares)
     if model is not None:
-        chosen = _roll(state.filter(F.col("item_id").isNotNull()), model, cfg, alpha)
-        rest = rest.unionByName(chosen)
-    return rest.select(
+        chosen = state.filter(F.col("item_id").isNotNull()).withColumn("alpha", shares)
+        rolled = rolled.unionByName(_roll(chosen, model, cfg))
+    return rolled.select(
+        "alpha",
         "item_code",
         F.date_add(as_date(start), F.col("_place") + 1).alias("target_date"),
         (F.col("_place") + 1).alias("horizon"),
         "yhat",
     )
+
+
+def recursive_forecast(
+    daily: DataFrame,
+    items: DataFrame,
+    model,
+    train_end: str | dt.date,
+    cfg: DirectConfig,
+    alpha: float,
+) -> DataFrame:
+    """M17. Forecast one day at a time; the blended, rule-checked value becomes history for the next day.
+
+    Selected items blend the model with the 56-day median, all others take the median and never meet the
+    model. Without a model ``items`` must be empty. Any positive forecast counts as a sale for recency and
+    activity. Returns (item_code, target_date, horizon, yhat).
+    """
+    return recursive_forecasts(daily, items, model, train_end, cfg, [alpha]).drop("alpha")

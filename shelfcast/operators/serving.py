@@ -97,7 +97,10 @@ def day_summary(runs: DataFrame, forecasts: DataFrame, target_date: str | dt.dat
 
 
 def choose_model_version(versions: DataFrame, model_name: str) -> DataFrame:
-    """T7. Production before Staging, then the highest version; raises when neither exists."""
+    """T7. Production before Staging, then the highest version; raises when neither exists.
+
+    ``versions`` is the table of ``ModelStore``, whose rows hold the saved model's path.
+    """
     stage_rank = F.when(F.col("stage") == "Production", 0).when(F.col("stage") == "Staging", 1)
     chosen = (
         versions.filter((F.col("name") == model_name) & stage_rank.isNotNull())

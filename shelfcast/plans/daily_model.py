@@ -24,6 +24,7 @@ from shelfcast.operators.models import (
 from shelfcast.operators.quality import FEATURE_GATES, FORECAST_GATES, feature_quality, forecast_quality, require_clean
 from shelfcast.operators.scoring import evaluation_report, passes_registration_rule
 from shelfcast.operators.selection import active_items, gold_window, training_items
+from shelfcast.session import written_table
 from shelfcast.sources.runs import FORECAST_COLUMNS, RunStore
 from shelfcast.sources.tables import TableStore
 
@@ -64,7 +65,7 @@ def train_and_evaluate(
     train_matrix, validation_matrix = model_matrix(train, ids), model_matrix(validation, ids)
     model = fit_daily_model(train_matrix, validation_matrix, settings)
     scored = frame_baselines(predict_daily(model, validation_matrix).withColumnRenamed("predicted", "gbt"))
-    report = evaluation_report(scored, ["gbt", *FRAME_BASELINES]).persist()
+    report = written_table(evaluation_report(scored, ["gbt", *FRAME_BASELINES]))
     store.save_report(f"evaluation_{feature_version}", report)
     passed = passes_registration_rule(report, "gbt", list(FRAME_BASELINES)).first()["passed"]
     return TrainingResult(model, report, bool(passed))

@@ -16,10 +16,11 @@ from shelfcast.operators.direct import direct_dataset, fit_end, forecast_feature
 from shelfcast.operators.models import fit_tweedie, fit_two_stage
 from shelfcast.operators.postprocess import apply_rules
 from shelfcast.operators.profile import item_profile
-from shelfcast.operators.recursive import recursive_forecast
+from shelfcast.operators.recursive import recursive_forecasts
 from shelfcast.operators.scoring import wrmsse, wrmsse_by_item
 from shelfcast.operators.selection import select_items
 from shelfcast.operators.wide import cover_ids, in_file_order, to_wide
+from shelfcast.session import written_table
 from shelfcast.sources.tables import TableStore
 
 
@@ -75,7 +76,7 @@ def evaluate(
     """
     fit_day = fit_end(train_end, cfg.horizon)
     profile = _profile(daily, train_end, cfg)
-    items = choose(profile, cfg).persist()
+    items = written_table(choose(profile, cfg))
     model = fit_for(daily, items, _profile(daily, fit_day, cfg), fit_day, train_end, cfg, family)
     with_rules = family == "two_stage"
 
@@ -90,20 +91,20 @@ def evaluate(
 
     baseline_score = score(baseline)
     if cfg.recursive:
-        tried = {
-            step / 20: recursive_forecast(daily, items, model, train_end, cfg, step / 20) for step in range(21)
-        }
-        rows = [(alpha, score(forecast)) for alpha, forecast in tried.items()]
+        alphas = [step / 20 for step in range(21)]
+        tried = written_table(recursive_forecasts(daily, items, model, train_end, cfg, alphas))
+        of = lambda alpha: tried.filter(F.col("alpha") == alpha).drop("alpha")
+        rows = [(alpha, score(of(alpha))) for alpha in alphas]
         grid = daily.sparkSession.createDataFrame(rows, "alpha double, wrmsse_56 double")
         alpha = best_alpha(grid, baseline_score)
-        chosen = tried[alpha] if any(s < baseline_score for _, s in rows) else baseline
+        chosen = of(alpha) if any(s < baseline_score for _, s in rows) else baseline
     else:
         predicted = model.predict(forecast_features(daily, items, train_end, cfg)).select(
             "item_code", "target_date", "horizon", "yhat"
         )
         # Rules only zero cells, so blending ruled forecasts equals ruling the blend.
-        predicted = ruled(predicted).persist()
-        grid = blend_grid(daily, baseline, predicted, weights, train_end, cfg.horizon).persist()
+        predicted = written_table(ruled(predicted))
+        grid = written_table(blend_grid(daily, baseline, predicted, weights, train_end, cfg.horizon))
         alpha = best_alpha(grid, baseline_score)
         chosen = blend_with_model(baseline, predicted, alpha) if alpha > 0 else baseline
     by_item = wrmsse_by_item(daily, chosen, weights, train_end, cfg.horizon)
@@ -136,18 +137,19 @@ def forecast_future(
     ``ids`` (with column ``id``) fixes the rows of the result and must be covered completely.
     """
     profile = _profile(daily, train_end, cfg)
-    items = choose(profile, cfg).persist()
+    items = written_table(choose(profile, cfg))
     model = fit_for(daily, items, profile, train_end, train_end, cfg, "two_stage")
-    baseline = _rules(baseline_forecast(daily, train_end, "median_56", horizon=cfg.horizon), daily, train_end, cfg)
-    predicted = None
-    if not cfg.recursive:
-        predicted = model.predict(forecast_features(daily, items, train_end, cfg)).select(
-            "item_code", "target_date", "horizon", "yhat"
-        )
+    if cfg.recursive:
+        tried = written_table(recursive_forecasts(daily, items, model, train_end, cfg, [float(a) for a in alphas]))
+    else:
+        base = baseline_forecast(daily, train_end, "median_56", horizon=cfg.horizon)
+        baseline = written_table(_rules(base, daily, train_end, cfg))
+        predicted = model.predict(forecast_features(daily, items, train_end, cfg))
+        predicted = written_table(predicted.select("item_code", "target_date", "horizon", "yhat"))
     out: dict[float, DataFrame] = {}
     for alpha in alphas:
         if cfg.recursive:
-            forecast = recursive_forecast(daily, items, model, train_end, cfg, float(alpha))
+            forecast = tried.filter(F.col("alpha") == float(alpha)).drop("alpha")
         else:
             forecast = _rules(blend_with_model(baseline, predicted, alpha), daily, train_end, cfg)
         wide = to_wide(forecast)

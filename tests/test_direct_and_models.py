@@ -8,6 +8,7 @@ from shelfcast.config import DIRECT_COLUMNS, MODEL_COLUMNS, ORIGIN_LAGS, ORIGIN_
 from shelfcast.operators import direct, frames, models, recursive, scoring
 from shelfcast.operators.profile import item_profile
 from shelfcast.plans import daily_model, direct_models
+from shelfcast.sources.model_store import ModelStore
 from shelfcast.sources.runs import RunStore
 from shelfcast.sources.tables import TableStore
 from tests.helpers import DAY, by, daily_rows, day, feature_gold, forecast_gold
@@ -143,6 +144,42 @@ def test_daily_model_from_features_to_published_forecast(spark, tmp_path):
     assert by(runs.runs(), "run_id")["run-2"]["status"] == "failed"
 
 
+def test_saved_model_gives_the_same_forecast(spark, tmp_path):
+    store, saved = TableStore(spark, str(tmp_path / "t")), ModelStore(spark, str(tmp_path / "m"))
+    store.replace_all("gold", feature_gold(spark))
+    daily_model.build_features(store, "v1", 2, 20, 7)
+    result = daily_model.train_and_evaluate(store, "v1", 7, models.DailyModelSettings(max_iter=2, max_depth=2))
+    ids = models.item_ids(store.features("v1"))
+    with pytest.raises(ValueError, match="No Production"):
+        saved.load("gbt")
+    saved.save(result.model, ids, "gbt", "9", "v1")
+    saved.save(result.model, ids.limit(1), "gbt", "10", "v1")
+    assert saved.load("gbt")[2]["version"] == "10"
+    saved.save(result.model, ids, "gbt", "2", "v1", stage="Production")
+    with pytest.raises(ValueError, match="exists"):
+        saved.save(result.model, ids, "gbt", "2", "v1")
+    with pytest.raises(ValueError, match="Not a stage"):
+        saved.save(result.model, ids, "gbt", "3", "v1", stage="Live")
+    again = ModelStore(spark, str(tmp_path / "m"))
+    model, items, row = again.load("gbt")
+    assert (row["version"], row["feature_version"], row["passed"]) == ("2", "v1", True)
+    gold, listed = store.gold(), ids.select("item_code")
+    before = daily_model.forecast_rows(gold, listed, result.model, ids, "2025-03-11", 14).collect()
+    after = daily_model.forecast_rows(gold, listed, model, items, "2025-03-11", 14).collect()
+    assert sorted(map(str, before)) == sorted(map(str, after)) and len(after) == 28
+
+
+def test_several_shares_equal_single_recursions(spark):
+    frame = daily_rows(spark, {"A": {str(START + i * DAY): 2 for i in range(80)}, "B": {str(START): 3}})
+    cut = START + 79 * DAY
+    cfg = DirectConfig(top_n=1, horizon=8, end_of_selling_since=str(START))
+    items = direct_models.choose(item_profile(frame, cut), cfg)
+    table = recursive.recursive_forecasts(frame, items, Constant(), cut, cfg, [0.0, 0.5]).collect()
+    for alpha in (0.0, 0.5):
+        one = recursive.recursive_forecast(frame, items, Constant(), cut, cfg, alpha).collect()
+        assert sorted(map(tuple, one)) == sorted(tuple(r)[1:] for r in table if r["alpha"] == alpha) and len(one) == 16
+
+
 def test_two_stage_evaluation_and_future(spark, daily):
     result = direct_models.evaluate(daily, day("2024-08-31"), CFG)
     row = result.scores.first()

@@ -1,13 +1,15 @@
 """Operator 10, mixing sources to target weights by Pfair scheduling, in built-in functions only.
 
-Rows of a source form blocks of BLOCK_ROWS. A source of quota q in a cycle of L slots owns q blocks per cycle; its
-k-th block is released at slot floor(k L / q) and due by slot ceil((k + 1) L / q). Of the released blocks the one that is
-due first gets the slot, so at every slot each source is within one block of its target share.
+Rows of a source form blocks of BLOCK_ROWS, one per slot. In the ideal schedule every source is served at all times in
+proportion to its weight among the sources that still have blocks; by virtual time v source i has had min(v w_i, n_i)
+blocks and the slots used are their sum. Block k is released at the slot the ideal schedule begins it (floor) and due by
+the slot it ends it (ceil), both from the real weights. Of the released blocks the one that is due first gets the slot,
+so at every slot each source is within one block of the ideal schedule, however many rows and sources there are.
 
-Quotas are integers, so cycles repeat: one template per set of quotas orders all cycles with that set, and blocks find
-their slot by a join. A source that runs out has one last smaller quota, then none; the others share the slots by
-their weights. So there are at most two templates per source and one more, whatever the number of rows, and every row
-appears exactly once. Weights default to each source's share of rows to the power of TEMPERATURE.
+One pass over the slots, which carries one row of counters and no rows of the table, notes the state at every SPAN_SLOTS
+slots; the spans are then laid out in parallel from their states. The pass is sequential: a slot is BLOCK_ROWS rows.
+Every row appears exactly once. Weights default to each source's share of rows to the power of TEMPERATURE; sources
+without a positive weight are served when the others have run out.
 
 Row numbers within a source come from range partitions with offsets, so a source with a third of all rows is spread over
 all tasks. The number of sources must fit one array (tens of thousands).
@@ -21,84 +23,111 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from shelfcast.functions.ranking import with_global_row_number
 from shelfcast.session import scalar, written_table
 
 BLOCK_ROWS = 32
-CYCLE_SLOTS = 100
+SPAN_SLOTS = 256
 TEMPERATURE = 0.7
+_NO_WEIGHT = 1e-9  # of all weights: a share that comes to nothing while others have blocks
+_ROUNDING = 1e-6  # of a slot; below it a time is taken as the whole slot it is close to
 
 
-def source_quotas(counts: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """(source, n_rows, n_blocks, quota) of ``counts`` (source, n_rows); weights: (source, weight), missing ones 1 slot."""
+def source_weights(counts: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(source, n_blocks, weight) of ``counts`` (source, n_rows), shares of 1; weights: (source, weight)."""
     if weights is None:
         named = counts.withColumn("weight", F.pow(F.col("n_rows"), F.lit(TEMPERATURE)))
     else:
         right = weights.select(F.col("source").alias("_of"), F.col("weight").cast("double").alias("weight"))
         named = counts.join(right, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
-        named = named.withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
+    real = (F.col("weight") > 0) & (F.col("weight") < float("inf"))
+    named = written_table(named.withColumn("weight", F.when(real, F.col("weight")).otherwise(0.0)))
     total = scalar(named, F.greatest(F.sum("weight"), F.lit(1e-300)))
-    quota = F.greatest(F.lit(1), F.round(F.col("weight") / total * CYCLE_SLOTS)).cast("long")
-    return named.withColumn("n_blocks", F.ceil(F.col("n_rows") / BLOCK_ROWS)).withColumn("quota", quota).drop("weight")
-
-
-def edf_template(quotas: Column, length: Column) -> Column:
-    """Array of the source number in each slot of a cycle: earliest deadline first among released blocks."""
-    n = F.size(quotas)
-    start = F.struct(F.transform(quotas, lambda q: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("slots"))
-
-    def step(state: Column, slot: Column) -> Column:
-        def due(i: Column) -> Column:
-            q, k = F.element_at(quotas, i), F.element_at(state["done"], i)
-            ready = (k < q) & (F.floor(k * length / q) <= slot)
-            return F.when(ready, F.struct(F.ceil((k + 1) * length / q).alias("by"), i.alias("i")))
-
-        first = F.array_min(F.filter(F.transform(F.sequence(F.lit(1), n), due), lambda x: x.isNotNull()))["i"]
-        done = F.transform(state["done"], lambda k, i: F.when(i + 1 == first, k + 1).otherwise(k))
-        return F.struct(done.alias("done"), F.concat(state["slots"], F.array(first)).alias("slots"))
-
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), length - 1), start, step)["slots"]
-
-
-def block_slots(quotas: DataFrame) -> DataFrame:
-    """(source, block, slot) of every block; slots count from 0 without gaps."""
-    full = F.expr("n_blocks div quota")
-    rest = F.col("n_blocks") % F.col("quota")
-    every = written_table(quotas.withColumns({"full": full, "rest": rest}))
-    names = scalar(every, F.array_sort(F.collect_list(F.struct("source", "quota", "full", "rest"))))
-    points = every.select(F.explode(F.array(F.lit(0).cast("long"), F.col("full"), F.col("full") + 1)).alias("cycle")).distinct()
-    last = scalar(every, F.max(F.col("full") + F.when(F.col("rest") > 0, 1).otherwise(0)))
-    cuts = points.filter(F.col("cycle") < last)
-    # One row per set of quotas: at most two per source and one more, in one small window.
-    ordered = Window.orderBy("cycle")
-    spans = cuts.withColumn("until", F.coalesce(F.lead("cycle").over(ordered), last)).withColumn("sources", names)
-    own = lambda s: F.when(F.col("cycle") < s["full"], s["quota"]).when(F.col("cycle") == s["full"], s["rest"]).otherwise(0)
-    spans = spans.withColumn("quotas", F.transform("sources", own))
-    spans = spans.withColumn("length", F.aggregate("quotas", F.lit(0).cast("long"), lambda a, q: a + q))
-    spans = written_table(spans.repartition("cycle"))
-    before = F.sum((F.col("until") - F.col("cycle")) * F.col("length")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("base", F.coalesce(before, F.lit(0)))
-    active = F.filter(F.sequence(F.lit(1), F.size("quotas")), lambda i: F.element_at("quotas", i) > 0)
-    spans = spans.repartition("cycle").withColumn("active", active)
-    spans = spans.withColumn("used", F.transform("active", lambda i: F.element_at("quotas", i)))
-    slots = spans.select(
-        F.col("cycle").alias("span"), "length", "base", "sources", "active",
-        F.posexplode(edf_template(F.col("used"), F.col("length"))).alias("place", "number"),
-    )
-    source = F.element_at("sources", F.element_at("active", F.col("number")))["source"]
-    turn = F.row_number().over(Window.partitionBy("span", "source").orderBy("place")) - 1
-    slots = slots.select("span", "length", "base", "place", source.alias("source")).withColumn("turn", turn)
-    slots = written_table(slots.withColumnsRenamed({"source": "of", "span": "of_span", "turn": "of_turn", "place": "at"}))
-    starts = scalar(slots, F.array_sort(F.collect_set("of_span")))
-    blocks = every.select("source", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
-    blocks = blocks.withColumn("cycle", F.expr("block div quota")).withColumn("turn", (F.col("block") % F.col("quota")).cast("int"))
-    blocks = blocks.withColumn("starts", starts).withColumn("span", F.array_max(F.filter("starts", lambda s: s <= F.col("cycle"))))
-    same = F.col("source").eqNullSafe(F.col("of")) & F.expr("span = of_span and turn = of_turn")
-    met = blocks.join(slots, same)
-    slot = F.col("base") + (F.col("cycle") - F.col("span")) * F.col("length") + F.col("at")
-    return met.select("source", "block", slot.alias("slot"))
+    share = F.greatest(F.col("weight") / total, F.lit(_NO_WEIGHT))
+    return named.select("source", F.ceil(F.col("n_rows") / BLOCK_ROWS).alias("n_blocks"), share.alias("weight"))
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of ``value``, which is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _job(source: Column, done: Column, epochs: Column) -> Column:
+    """(done, ready, due) of a source that has had ``done`` blocks; ready and due are null after its last."""
+
+    def slots_at(v: Column) -> Column:
+        last = F.slice(F.filter(epochs, lambda e: e["v"] <= v), -1, 1)
+        return F.element_at(F.transform(last, lambda e: e["base"] + v * e["rate"]), 1)
+
+    left = done < source["n_blocks"]
+    ready = F.when(left, F.floor(slots_at(done / source["weight"]) + _ROUNDING))
+    due = F.when(left, F.ceil(slots_at((done + 1) / source["weight"]) - _ROUNDING))
+    return F.struct(done.alias("done"), ready.alias("ready"), due.alias("due"))
+
+
+def _earliest(state: Column, slot: Column) -> Column:
+    """Number, from 1, of the source whose block is due first among the released ones."""
+    bids = F.transform(
+        state, lambda j, i: F.when(j["due"].isNotNull(), F.struct((j["ready"] > slot).alias("early"), j["due"].alias("due"), (i + 1).alias("i")))
+    )
+    return F.array_min(bids)["i"]
+
+
+def _served(state: Column, number: Column, sources: Column, epochs: Column) -> Column:
+    def after(j: Column, i: Column) -> Column:
+        return F.when(i + 1 == number, _job(F.element_at(sources, number), j["done"] + 1, epochs)).otherwise(j)
+
+    return F.transform(state, after)
+
+
+def block_slots(weighted: DataFrame) -> DataFrame:
+    """(source, block, slot) of every block of ``weighted`` (source, n_blocks, weight); slots count from 0 without gaps."""
+    sources = F.array_sort(F.collect_list(F.struct("source", "n_blocks", "weight"))).alias("sources")
+    one = weighted.agg(sources, F.sum("n_blocks").alias("n_slots")).filter("n_slots > 0")
+    # Epochs of the ideal schedule, one more each time a source runs out: slots(v) = base + v * rate.
+    ends = F.array_sort(F.transform("sources", lambda s: F.struct((s["n_blocks"] / s["weight"]).alias("v"), s["n_blocks"].alias("n"), s["weight"].alias("w"))))
+    one = one.withColumn("ends", ends)
+    sums = lambda values, zero: F.aggregate(values, F.array(zero), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    bases = sums(F.transform("ends", lambda e: e["n"]), F.lit(0).cast("long"))
+    # Added up from the last to run out, so small weights keep their digits.
+    rates = F.reverse(sums(F.reverse(F.transform("ends", lambda e: e["w"])), F.lit(0.0)))
+    starts = F.concat(F.array(F.lit(0.0)), F.transform("ends", lambda e: e["v"]))
+    one = one.withColumn("epochs", F.arrays_zip(starts.alias("v"), bases.alias("base"), rates.alias("rate"))).drop("ends")
+    one = written_table(one)
+    zero = F.transform("sources", lambda s: _job(s, F.lit(0).cast("long"), F.col("epochs")))
+    one = one.withColumn("zero", zero)
+    n_spans = F.ceil(F.col("n_slots") / SPAN_SLOTS)
+
+    def slots_of(span: Column) -> Column:
+        return F.sequence(span * SPAN_SLOTS, F.least((span + 1) * SPAN_SLOTS, F.col("n_slots")) - 1)
+
+    def serve(state: Column, slot: Column) -> Column:
+        return _let(_earliest(state, slot), lambda i: _served(state, i, F.col("sources"), F.col("epochs")))
+
+    def pass_span(states: Column, span: Column) -> Column:
+        return F.concat(states, F.array(F.aggregate(slots_of(span), F.element_at(states, -1), serve)))
+
+    most = F.sequence(F.lit(0).cast("long"), n_spans - 1)
+    # The state after the last span is not asked for.
+    states = F.aggregate(F.slice(most, F.lit(1), F.size(most) - 1), F.array(F.col("zero")), pass_span)
+    spans = one.select("sources", "epochs", "n_slots", F.posexplode(states).alias("span", "state"))
+    spans = written_table(spans.repartition("span"))
+
+    def place(laid: Column, slot: Column) -> Column:
+        def put(i: Column) -> Column:
+            block = F.struct(i.alias("number"), F.element_at(laid["state"], i)["done"].alias("block"))
+            return F.struct(
+                _served(laid["state"], i, F.col("sources"), F.col("epochs")).alias("state"), F.concat(laid["blocks"], F.array(block)).alias("blocks")
+            )
+
+        return _let(_earliest(laid["state"], slot), put)
+
+    empty = F.array().cast("array<struct<number:int,block:bigint>>")
+    laid = F.aggregate(slots_of(F.col("span").cast("long")), F.struct(F.col("state"), empty.alias("blocks")), place)["blocks"]
+    placed = spans.repartition("span").select("span", "sources", F.posexplode(laid).alias("at", "put"))
+    slot = F.col("span").cast("long") * SPAN_SLOTS + F.col("at")
+    return placed.select(F.element_at("sources", F.col("put.number"))["source"].alias("source"), F.col("put.block").alias("block"), slot.alias("slot"))
 
 
 def mix_order(docs: DataFrame, weights: DataFrame | None = None, source: str = "source") -> DataFrame:
@@ -111,8 +140,8 @@ def mix_order(docs: DataFrame, weights: DataFrame | None = None, source: str = "
     numbered = written_table(numbered)
     counts = numbered.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.min("number").alias("first"))
     counts = written_table(counts)
-    quotas = source_quotas(counts.select("source", "n_rows"), weights)
-    slots = written_table(block_slots(quotas).withColumnsRenamed({"source": "of", "block": "of_block"}))
+    weighted = source_weights(counts.select("source", "n_rows"), weights)
+    slots = written_table(block_slots(weighted).withColumnsRenamed({"source": "of", "block": "of_block"}))
     firsts = counts.select(F.col("source").alias("_named"), "first")
     ranked = numbered.join(firsts, F.col("source").eqNullSafe(F.col("_named"))).drop("_named")
     ranked = ranked.withColumn("place", F.col("number") - F.col("first")).withColumn("block", F.expr(f"place div {BLOCK_ROWS}"))

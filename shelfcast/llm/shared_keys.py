@@ -4,14 +4,19 @@ All keys of all sets are dealt out by hash range, but packed: one row carries, f
 range, the keys as 32-bit numbers (the range is the rest of the key). Keys that several sets of a run hold are
 sent once, so a key in a third of all sets costs one number per run. Two different keys that look alike only
 make a set look less unique, never more; so does a run that a repeated task cuts differently.
+
+A run is named by a hash of its ids, its partition and its place in it: runs whose ids or sums agree stay apart, and a
+repeated task gives its runs the same names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from shelfcast.llm.words import mix
@@ -25,7 +30,13 @@ _PACKED = "range int, run long, ids binary, sizes binary, sets binary, counts bi
 SetsOf = Callable[[pa.RecordBatch], Iterator[tuple[int | None, np.ndarray]]]
 
 
-def _pack(run: list[tuple[int, np.ndarray]], ranges: int) -> pa.RecordBatch:
+def run_number(ids: np.ndarray, partition: int, place: int) -> int:
+    """Name of the run of sets ``ids`` that is the ``place``-th of its partition."""
+    text = np.array([partition, place], np.int64).tobytes() + ids.tobytes()
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def _pack(run: list[tuple[int, np.ndarray]], ranges: int, place: int) -> pa.RecordBatch:
     ids = np.array([i for i, _ in run], np.int64)
     sizes = np.array([len(k) for _, k in run], np.int64)
     keys = np.concatenate([k for _, k in run]) if run else np.zeros(0, np.uint64)
@@ -37,7 +48,8 @@ def _pack(run: list[tuple[int, np.ndarray]], ranges: int) -> pa.RecordBatch:
     common = keys[same[1:] & ~same[:-1]]  # the first of several
     alone = ~same[1:] & ~same[:-1]
     keys, owner = keys[alone], owner[alone]
-    number = int(mix(np.array([ids.astype(np.uint64).sum() + np.uint64(len(keys))], np.uint64)).view(np.int64)[0])
+    context = TaskContext.get()
+    number = run_number(ids, context.partitionId() if context else 0, place)
 
     def range_of(values: np.ndarray) -> np.ndarray:
         return (((values >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
@@ -64,7 +76,7 @@ def _pack(run: list[tuple[int, np.ndarray]], ranges: int) -> pa.RecordBatch:
 def _packer(sets_of: SetsOf, ranges: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run: list[tuple[int, np.ndarray]] = []
-        keys = 0
+        keys = place = 0
         for batch in batches:
             for set_id, values in sets_of(batch):
                 if set_id is None or not len(values):
@@ -72,10 +84,10 @@ def _packer(sets_of: SetsOf, ranges: int):
                 run.append((set_id, values))
                 keys += len(values)
                 if keys >= RUN_KEYS or len(run) >= RUN_SETS:
-                    yield _pack(run, ranges)
-                    run, keys = [], 0
+                    yield _pack(run, ranges, place)
+                    run, keys, place = [], 0, place + 1
         if run:
-            yield _pack(run, ranges)
+            yield _pack(run, ranges, place)
 
     return pack
 

@@ -2,10 +2,11 @@
 
 Suffixes are kept only where a word position is chosen by content: the smallest k-gram hash of each window of
 consecutive k-grams (minimisers). Two texts that share MIN_WORDS words share a window, hence a kept suffix.
-Kept suffixes whose k-gram occurs once are dropped; the rest are sorted as a distributed suffix array (range
-partitions on the suffix itself, so a suffix in a third of all texts is spread over tasks), compared with their
-neighbours of other texts, and matches are extended to the left and to the right. A match spans at most one
-window to either side of its suffix; the spans of a longer passage overlap and are merged.
+Kept suffixes whose k-gram occurs once are dropped; the rest are sorted as two distributed suffix arrays, by the words
+to the right and by the words to the left (range partitions on the suffix itself, so a suffix in a third of all texts
+is spread over tasks), compared with their neighbours of other texts in both, also across partitions, and matches are
+extended to the left and to the right. A match spans at most one window to either side of its suffix; the spans of a
+longer passage overlap and are merged.
 
 Texts with equal word sequences are one text here; each of their documents is repeated as a whole.
 
@@ -155,44 +156,62 @@ def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
 
 
 def match_neighbours(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, start, end) of the matches of each suffix with its neighbours, in right order and in left order."""
-    gram, key = (table.column(c).to_numpy() for c in ("gram", "key"))
+    """(key, start, end) of the matches of each suffix of the sorted ``table`` with its neighbours of other texts."""
+    gram, k = (table.column(c).to_numpy() for c in ("gram", "key"))
     place, n_right, n_left = (table.column(c).to_numpy().astype(np.int64) for c in ("place", "n_right", "n_left"))
     right, left = _matrix(table.column("right").combine_chunks()), _matrix(table.column("left").combine_chunks())
-    found = []
     n = len(gram)
-    whole = np.ascontiguousarray(gram.astype(">i8")).view(np.uint8).reshape(n, 8)
-    for sides in ((right, left), (left, right)):
-        rows = np.concatenate([whole, *(x.view(np.uint8).reshape(n, -1) for x in sides)], axis=1)
-        order = np.argsort(rows.view(f"V{rows.shape[1]}").ravel(), kind="stable")
-        k = key[order]
-        first = np.r_[True, k[1:] != k[:-1]]
-        run = np.cumsum(first) - 1
-        starts = np.flatnonzero(first)
-        before = starts[run] - 1  # the nearest row above that is of another text
-        i = np.flatnonzero(before >= 0)
-        after = np.r_[starts[1:], n][run]  # and below
-        j = np.flatnonzero(after < n)
-        a = np.concatenate([order[i], order[j]])
-        b = np.concatenate([order[before[i]], order[after[j]]])
-        same = gram[a] == gram[b]
-        a, b = a[same], b[same]
-        r = _common(right[a], right[b], np.minimum(n_right[a], n_right[b]))
-        l = _common(left[a], left[b], np.minimum(n_left[a], n_left[b]))  # noqa: E741
-        hit = l + GRAM_WORDS + r >= MIN_WORDS
-        for x in (a[hit], b[hit]):
-            found.append((key[x], place[x] - l[hit], place[x] + GRAM_WORDS + r[hit]))
+    first = np.r_[True, k[1:] != k[:-1]]
+    run = np.cumsum(first) - 1
+    starts = np.flatnonzero(first)
+    before = starts[run] - 1  # the nearest row above that is of another text
+    i = np.flatnonzero(before >= 0)
+    after = np.r_[starts[1:], n][run]  # and below
+    j = np.flatnonzero(after < n)
+    a = np.concatenate([i, j])
+    b = np.concatenate([before[i], after[j]])
+    same = gram[a] == gram[b]
+    a, b = a[same], b[same]
+    r = _common(right[a], right[b], np.minimum(n_right[a], n_right[b]))
+    l = _common(left[a], left[b], np.minimum(n_left[a], n_left[b]))  # noqa: E741
+    hit = l + GRAM_WORDS + r >= MIN_WORDS
+    found = [(k[x], place[x] - l[hit], place[x] + GRAM_WORDS + r[hit]) for x in (a[hit], b[hit])]
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def _last_two(keys: np.ndarray) -> tuple[int, int]:
+    """Rows that begin the last run of one text and, last row only, the run before it; -1 if there is none."""
+    other = np.flatnonzero(keys != keys[-1])
+    return (int(other[-1]) + 1, int(other[-1])) if len(other) else (0, -1)
+
+
+def _ends(table: pa.Table) -> pa.Table:
+    """The last row of each of the last two texts."""
+    _, other = _last_two(table.column("key").to_numpy())
+    return table.take([x for x in (other, table.num_rows - 1) if x >= 0])
+
+
+def _heads(table: pa.Table) -> pa.Table:
+    """The first row of each of the first two texts."""
+    other = np.flatnonzero(table.column("key").to_numpy() != table.column("key")[0].as_py())
+    return table.take([0, *other[:1].tolist()])
+
+
+def _carried(table: pa.Table) -> pa.Table:
+    """What the next chunk must meet: the last text's run (its last row if it is long) and the last row before it."""
+    start, other = _last_two(table.column("key").to_numpy())
+    run = table.slice(start if table.num_rows - start < CHUNK_ROWS // 2 else table.num_rows - 1)
+    return pa.concat_tables([table.slice(other, 1), run]) if other >= 0 else run
+
+
 _MATCH = "key long, start int, stop int, edge boolean, " + ", ".join(f"e_{c}" for c in _CONTEXT.split(", "))
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes in, matches out; the first and the last suffix of the partition go along as edges."""
+    """Sorted suffixes in, matches out; the first and last suffixes of the partition's two outer texts go along as edges."""
     names = [c.split()[0] for c in _CONTEXT.split(", ")]
     held: list[pa.Table] = []
-    rows, first, tail = 0, None, None
+    rows, first = 0, None
 
     def result(table: pa.Table, edges: list[pa.Table]) -> pa.RecordBatch:
         key, start, stop = match_neighbours(table)
@@ -213,24 +232,44 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         part = pa.Table.from_batches([batch]).select(names)
-        first = first if first is not None else part.slice(0, 1)
         held.append(part)
         rows += part.num_rows
+        # The first two texts of the partition; a row of the second may come in a later batch.
+        if first is None or len(first.column("key").unique()) < 2:
+            first = _heads(part if first is None else pa.concat_tables([first, part]))
         if rows >= CHUNK_ROWS:
             table = pa.concat_tables(held)
             yield result(table, [])
-            tail = table.slice(table.num_rows - 1)
             # Neighbours meet across chunks, too.
-            held, rows = [tail], 1
+            tail = _carried(table)
+            held, rows = [tail], tail.num_rows
     if held:
         table = pa.concat_tables(held)
-        yield result(table, [first, table.slice(table.num_rows - 1)])
+        yield result(table, [first, _ends(table)])
 
 
-def _match_edges(table: pa.Table) -> pa.Table:
-    names = [c.split()[0] for c in _CONTEXT.split(", ")]
-    key, start, stop = match_neighbours(table.rename_columns([c.removeprefix("e_") for c in table.column_names]).select(names))
-    return pa.table({"key": key, "start": start.astype(np.int32), "stop": stop.astype(np.int32)})
+def _orders(side: str) -> list[str]:
+    return ["gram", *(("right", "left") if side == "right" else ("left", "right")), "key", "place"]
+
+
+def _edge_matcher(side: str):
+    def match_edges(table: pa.Table) -> pa.Table:
+        names = [c.split()[0] for c in _CONTEXT.split(", ")]
+        edges = table.rename_columns([c.removeprefix("e_") for c in table.column_names]).select(names)
+        key, start, stop = match_neighbours(edges.sort_by([(c, "ascending") for c in _orders(side)]))
+        return pa.table({"key": key, "start": start.astype(np.int32), "stop": stop.astype(np.int32)})
+
+    return match_edges
+
+
+def _side_spans(array: DataFrame, side: str) -> DataFrame:
+    """(key, start, stop) of the matches of neighbours in the order of the words on one side."""
+    order = _orders(side)
+    matched = written_table(array.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_match, _MATCH))
+    # Four rows per partition of the suffix array: its ends, compared across partitions.
+    edges = matched.filter("edge").select(*[f"e_{c.split()[0]}" for c in _CONTEXT.split(", ")], F.lit(0).alias("all"))
+    met = edges.groupBy("all").applyInArrow(_edge_matcher(side), "key long, start int, stop int")
+    return matched.filter("not edge").select("key", "start", "stop").unionByName(met)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -247,13 +286,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     wanted = spots.join(repeated, "gram", "left_semi").groupBy("key").agg(F.collect_set("place").alias("places"))
     wanted = wanted.join(classes.select("key", "doc_id"), "key")
     one = texts.join(wanted, "doc_id").select("text", "key", "places")
-    order = ["gram", "right", "key", "place"]
-    array = one.mapInArrow(_contexts, _CONTEXT).repartitionByRange(*order).sortWithinPartitions(*order)
-    matched = written_table(array.mapInArrow(_match, _MATCH))
-    # Two rows per partition of the suffix array: its ends, compared across partitions.
-    edges = matched.filter("edge").select(*[f"e_{c.split()[0]}" for c in _CONTEXT.split(", ")], F.lit(0).alias("all"))
-    met = edges.groupBy("all").applyInArrow(_match_edges, "key long, start int, stop int")
-    spans = matched.filter("not edge").select("key", "start", "stop").unionByName(met)
+    array = written_table(one.mapInArrow(_contexts, _CONTEXT))
+    spans = _side_spans(array, "right").unionByName(_side_spans(array, "left"))
     return _merged(spans, members, classes)
 
 

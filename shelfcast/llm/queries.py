@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfcast.llm.decontamination import op8_benchmark_decontamination
 from shelfcast.llm.language_id import op2_language_id
 from shelfcast.llm.ngram_jaccard import op5_ngram_jaccard_join
+from shelfcast.llm.periodic_runs import op12_periodic_runs
 from shelfcast.llm.pfair_mixing import op10_pfair_mixing
+from shelfcast.llm.piece_spans import op13_piece_spans
 from shelfcast.llm.quality_rules import op7_quality_rules
 from shelfcast.llm.site_quality import op9_site_quality
 from shelfcast.llm.suffix_dedup import op3_suffix_array_dedup
@@ -56,6 +58,7 @@ QUERIES: dict[str, Query] = {
     query.__name__: _shipped_first(query)
     for query in (
         op1_token_records, op2_language_id, op3_suffix_array_dedup, op4_toxicity, op5_ngram_jaccard_join, op6_warc,
-        op7_quality_rules, op8_benchmark_decontamination, op9_site_quality, op10_pfair_mixing,
+        op7_quality_rules, op8_benchmark_decontamination, op9_site_quality, op10_pfair_mixing, op12_periodic_runs,
+        op13_piece_spans,
     )
 }

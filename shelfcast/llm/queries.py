@@ -1,4 +1,4 @@
-"""Queries of the operators on the test tables; none of them can be written as one SQL statement."""
+"""Queries of the operators on the test tables, and SQL for those that one statement can express."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfcast.llm.decontamination import op8_benchmark_decontamination
+from shelfcast.llm.hard_negatives import ORACLE_SQL as HARD_NEGATIVES_SQL
+from shelfcast.llm.hard_negatives import op11_hard_negatives
 from shelfcast.llm.language_id import op2_language_id
 from shelfcast.llm.ngram_jaccard import op5_ngram_jaccard_join
 from shelfcast.llm.periodic_runs import op12_periodic_runs
@@ -58,7 +60,8 @@ QUERIES: dict[str, Query] = {
     query.__name__: _shipped_first(query)
     for query in (
         op1_token_records, op2_language_id, op3_suffix_array_dedup, op4_toxicity, op5_ngram_jaccard_join, op6_warc,
-        op7_quality_rules, op8_benchmark_decontamination, op9_site_quality, op10_pfair_mixing, op12_periodic_runs,
-        op13_piece_spans,
+        op7_quality_rules, op8_benchmark_decontamination, op9_site_quality, op10_pfair_mixing, op11_hard_negatives,
+        op12_periodic_runs, op13_piece_spans,
     )
 }
+ORACLES = {"op11_hard_negatives": HARD_NEGATIVES_SQL}

@@ -10,8 +10,9 @@ records reachable from the file's start through the chain of successors are real
 jumping (joins that double the reach each round), never by one task walking a file.
 
 Defined results: null html is an empty payload; rows without a page_id are left out (nothing could name them); rows
-with one page_id are records of their own. Payloads below ``min_payload`` bytes are never revisits. Extra columns
-are ignored. An empty table writes no archive and reads back empty.
+with one page_id are records of their own, each a response or a revisit by its own payload. Payloads below
+``min_payload`` bytes are never revisits. Urls and payloads may have any length. Extra columns are ignored. An empty
+table writes no archive and reads back empty.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.shards import new_file, read_files
-from shelfcast.session import work_folder, written_table
+from shelfcast.session import delete_folder, work_folder, written_table
 
 MIN_PAYLOAD = 0
 ARCHIVE_PAGE_BYTES = 16 << 20
@@ -71,7 +73,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
     """(fields, block, length) of the record at the start of ``data``, or None if no whole record is there."""
     if data[: len(_PLAIN_MAGIC)] != _PLAIN_MAGIC:
         return None
-    end = data.find(_HEAD_END, 0, 1 << 16)
+    end = data.find(_HEAD_END)
     fields = _fields(data[:end]) if end > 0 else {}
     if not re.fullmatch(r"\d{1,18}", fields.get("content-length", "")):
         return None
@@ -83,10 +85,12 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
 
 
 def _plain_candidates(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    end = data.find(_HEAD_END)
     for found in re.finditer(re.escape(_PLAIN_MAGIC), data):
         start = found.start()
-        end = data.find(_HEAD_END, start, start + (1 << 16))
-        size = _fields(data[start:end]).get("content-length", "") if end > 0 else ""
+        if 0 <= end < start:  # else the head ends where an earlier one does; the file is searched once
+            end = data.find(_HEAD_END, start)
+        size = _fields(data[start:end]).get("content-length", "") if end > start else ""
         if re.fullmatch(r"\d{1,18}", size):
             record = parse_record(data[start : end + 2 * len(_HEAD_END) + int(size)])
             if record:
@@ -112,9 +116,9 @@ def _gzip_candidates(data: bytes) -> Iterator[tuple[int, int, dict[str, str], by
             yield start, min(place, len(data)) - len(member.unused_data), record[0], record[1]
 
 
-_MANIFEST = "name string, n_bytes long, n_records long"
+_MANIFEST = "file int, name string, n_bytes long, n_records long"
 _CANDIDATE = (
-    "name string, place long, after long, page_id long, payload_bytes long, payload_digest string, record_type string, "
+    "file int, place long, after long, page_id long, payload_bytes long, payload_digest string, record_type string, "
     "refers_to long, payload binary"
 )
 
@@ -139,33 +143,38 @@ def _writer(folder: str, compress: bool):
                 records += 1
                 row = next(rows, None)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([name], pa.string()), pa.array([size], pa.int64()), pa.array([records], pa.int64())],
-            ["name", "n_bytes", "n_records"],
+            [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([size]), pa.array([records])],
+            ["file", "name", "n_bytes", "n_records"],
         )
 
     return write
 
 
 def mark_revisits(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload equals that of a page with a smaller page_id.
+    """(page_id, digest, refers_to) of the payloads of pages that equal that of a page with a smaller page_id.
 
     Only digests are shuffled; the smallest page_id of each is a partial aggregate, so a payload that a third of all
-    pages share is one row per task.
+    pages share is one row per task. ``pages`` has page_id, html and the html's digest.
     """
-    html = F.coalesce(F.col("html"), F.lit(""))
-    marks = pages.filter(F.octet_length(html) >= min_payload).select("page_id", F.unhex(F.sha1(html.cast("binary"))).alias("digest"))
+    marks = pages.filter(F.octet_length(F.coalesce("html", F.lit(""))) >= min_payload).select("page_id", "digest")
     shared = marks.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return marks.join(shared, "digest").filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return marks.hint("merge").join(shared, "digest").filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, min_payload: int = MIN_PAYLOAD, compress: bool = True) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) as archives of bounded size; returns the manifest."""
+    """Write ``pages`` (page_id, url, html) as archives of about ``ARCHIVE_PAGE_BYTES`` of html; returns the manifest.
+
+    The pages are shuffled once: by page_id and digest, which deals them to the archives and brings the marks to them.
+    """
     pages = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     ).filter("page_id is not null")
+    pages = pages.withColumn("digest", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))))
     n_bytes = pages.select(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("n")).first()["n"]
-    marked = pages.join(mark_revisits(pages, min_payload), "page_id", "left")
-    dealt = marked.repartition(1 + n_bytes // ARCHIVE_PAGE_BYTES, F.xxhash64("page_id", "html"))
+    n_archives = 1 + n_bytes // ARCHIVE_PAGE_BYTES
+    key = ["page_id", "digest"]
+    marks = mark_revisits(pages, min_payload).repartition(n_archives, *key)
+    dealt = pages.repartition(n_archives, *key).hint("merge").join(marks, key, "left")
     manifest = dealt.select("page_id", "url", "html", "refers_to").mapInArrow(_writer(folder, compress), _MANIFEST)
     path = f"{folder}/_manifest"
     manifest.write.parquet(path)
@@ -175,12 +184,12 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = MIN_PAYLOAD
 def _scanner(keep_payload: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
+            for file, name, content in zip(batch.column("file").to_pylist(), batch.column("name").to_pylist(), batch.column("content")):
                 data = content.as_buffer().to_pybytes()
                 find = _gzip_candidates if name.endswith(".gz") else _plain_candidates
                 rows = []
                 for place, after, fields, block in find(data):
-                    rows.append((name, place, after, *_described(fields, block, keep_payload)))
+                    rows.append((file, place, after, *_described(fields, block, keep_payload)))
                     if len(rows) == 500:
                         yield _batch(rows)
                         rows = []
@@ -188,7 +197,7 @@ def _scanner(keep_payload: bool):
                     yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         names = [c.split()[0] for c in _CANDIDATE.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
@@ -212,32 +221,41 @@ def _described(fields: dict[str, str], block: bytes, keep_payload: bool) -> tupl
 
 
 def chained(candidates: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(name, place) of the candidates on the chain from each file's start, by pointer jumping.
+    """(file, place) of the candidates on the chain from each file's start, by pointer jumping.
 
-    Round r knows, for every candidate, the one 2^r records further on, and all reachable records among the
-    first 2^r of each file; so n records of a file take about log2(n) rounds.
+    One table of (file, place, to, real): after r rounds ``to`` is the candidate 2^r records further on, and real are all
+    reachable records among the first 2^r of each file; so n records of a file take about log2(n) rounds. A round is
+    written, and the one before deleted.
     """
-    jump = written_table(candidates.select("name", "place", F.col("after").alias("to")).distinct())
-    places = jump.select("name", "place")
-    reached = written_table(places.filter("place = 0"))
+    spark, folder = candidates.sparkSession, work_folder(candidates.sparkSession)
+
+    def written(frame: DataFrame, number: int) -> DataFrame:
+        frame.write.parquet(f"{folder}/round-{number}")
+        if number:
+            delete_folder(spark, f"{folder}/round-{number - 1}")
+        return spark.read.schema(frame.schema).parquet(f"{folder}/round-{number}")
+
+    first = candidates.select("file", "place", F.col("after").alias("to"), (F.col("place") == 0).alias("real"))
+    table = written(first.distinct(), 0)
     most = manifest.agg(F.max("n_records")).first()[0] or 0
-    for _ in range(max(0, int(most) - 1).bit_length()):
-        ahead = reached.join(jump, ["name", "place"]).select("name", F.col("to").alias("place"))
-        ahead = ahead.join(places, ["name", "place"])
-        reached = written_table(reached.unionByName(ahead).distinct())
-        further = jump.select("name", F.col("place").alias("to"), F.col("to").alias("next"))
-        jump = written_table(jump.join(further, ["name", "to"]).select("name", "place", F.col("next").alias("to")))
-    return reached
+    for number in range(1, max(0, int(most) - 1).bit_length() + 1):
+        # Both sides grow with the archives, so neither is broadcast.
+        ends = table.select("file", F.col("place").alias("to"), F.col("to").alias("next"))
+        further = table.hint("merge").join(ends, ["file", "to"], "left").select("file", "place", F.col("next").alias("to"), "real")
+        met = table.filter("real and to is not null").select("file", F.col("to").alias("place"), F.lit(True).alias("met"))
+        table = further.hint("merge").join(met, ["file", "place"], "left")
+        table = written(table.select("file", "place", "to", (F.col("real") | F.col("met").isNotNull()).alias("real")), number)
+    return table.filter("real").select("file", "place")
 
 
 def read_archives(manifest: DataFrame, folder: str, keep_payload: bool = True) -> DataFrame:
     """The records of the archives, verified by their boundary chains; a broken chain raises."""
-    found = read_files(manifest.select("name"), folder, "").select("name", "content").mapInArrow(_scanner(keep_payload), _CANDIDATE)
-    candidates = written_table(found)
+    found = read_files(manifest.select("file", "name"), folder, "").select("file", "name", "content")
+    candidates = written_table(found.mapInArrow(_scanner(keep_payload), _CANDIDATE))
     real = chained(candidates, manifest)
-    records = candidates.join(real, ["name", "place"])
-    tails = records.groupBy("name").agg(F.max("after").alias("end"))
-    broken = manifest.join(tails, "name", "left").filter("end is null or end <> n_bytes")
+    records = candidates.hint("merge").join(real, ["file", "place"])
+    tails = records.groupBy("file").agg(F.max("after").alias("end"))
+    broken = manifest.join(tails, "file", "left").filter("end is null or end <> n_bytes")
     if not broken.isEmpty():
         raise ValueError(f"the record chain does not end at the end of {broken.first()['name']}")
     return records

@@ -90,3 +90,30 @@ def test_small_payloads_are_no_revisits(spark):
     folder = work_folder(spark)
     got = read_archives(write_archives(table, folder, min_payload=5), folder).collect()
     assert {r["page_id"]: r["refers_to"] for r in got} == {1: None, 2: None, 3: None, 4: 3}
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_rows_of_one_page_id_and_long_urls(spark, compress):
+    """Each row is judged by its own payload, and no head is too long to be read."""
+    long = "http://" + "u" * 200_000
+    pages = [(1, "a", "x"), (2, "a", "x"), (2, "a", "own"), (2, "b", "y"), (5, "c", "x"), (5, "c", "y"), (7, long, "z" * 300_000), (8, long, None)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    folder = work_folder(spark)
+    got = read_archives(write_archives(table, folder, compress=compress), folder).collect()
+    kind = {"x": 1, "y": 2}
+    want = []
+    for page_id, _, html in pages:
+        origin = kind.get(html, page_id)
+        own = origin == page_id
+        want.append((page_id, len(html or ""), payload_digest((html or "").encode()), None if own else origin, (html or "").encode() if own else b""))
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["refers_to"], bytes(r["payload"])) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_heads_without_an_end_are_no_records():
+    from shelfcast.llm.warc import _plain_candidates
+
+    junk = b"WARC/1.1\r\nWARC-Type: response\r\n" * 2000
+    record = to_record(1, "u", b"WARC/1.1\r\n" * 3, None)
+    assert [c[:2] for c in _plain_candidates(record + junk)] == [(0, len(record))]
+    places = [c[:2] for c in _plain_candidates(junk + record)]
+    assert places[-1] == (len(junk), len(junk) + len(record))

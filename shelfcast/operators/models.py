@@ -1,19 +1,15 @@
-"""Spark ML models and hybrid scoring.
+"""Boosted models and hybrid scoring.
 
-Spark's tree learners stand in for a single-machine boosting library, so fitted values differ by nature;
-targets, row filters, weights, clipping, blending and fallback rules are the same.
+The trees of ``boosting`` grow level by level where the reference's grow leaf by leaf, so fitted values differ; losses,
+targets, row filters, weights, penalties, shares of rows and columns, clipping, blending and fallback rules are the same.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel, Pipeline, Transformer
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml import Transformer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.config import (
@@ -27,6 +23,7 @@ from shelfcast.config import (
 )
 from shelfcast.functions.numbers import positive_part
 from shelfcast.functions.ranking import with_global_row_number
+from shelfcast.operators.boosting import BoostedTrees, TreeSettings, feature_array, fit_trees, permutation_importance
 from shelfcast.session import broadcast_if_bounded
 
 
@@ -57,34 +54,37 @@ class DailyModelSettings:
     max_depth: int = 5
     step_size: float = 0.1
     max_bins: int = 64
+    least_rows: int = 20
+    row_share: float = 0.9
+    column_share: float = 0.85
+    patience: int = 30
     seed: int = 2026
 
 
 def fit_daily_model(
     train: DataFrame, validation: DataFrame, settings: DailyModelSettings = DailyModelSettings()
-) -> PipelineModel:
-    """M9. L1 gradient-boosted trees on model matrices, stopped early on the validation rows."""
+) -> BoostedTrees:
+    """M9. L1 gradient-boosted trees on model matrices; the validation rows choose the round that is kept."""
     rows = train.withColumn("_held_out", F.lit(False)).unionByName(
         validation.withColumn("_held_out", F.lit(True))
     )
-    assembler = VectorAssembler(inputCols=MODEL_COLUMNS, outputCol="_features", handleInvalid="error")
-    trees = GBTRegressor(
-        featuresCol="_features",
-        labelCol="target_quantity",
-        predictionCol="_raw_prediction",
-        lossType="absolute",
-        validationIndicatorCol="_held_out",
-        maxIter=settings.max_iter,
-        maxDepth=settings.max_depth,
-        stepSize=settings.step_size,
-        maxBins=settings.max_bins,
-        subsamplingRate=0.9,
+    trees = TreeSettings(
+        "absolute",
+        rounds=settings.max_iter,
+        depth=settings.max_depth,
+        step=settings.step_size,
+        bins=settings.max_bins,
+        l2=0.0,
+        least_rows=settings.least_rows,
+        row_share=settings.row_share,
+        column_share=settings.column_share,
+        patience=settings.patience,
         seed=settings.seed,
     )
-    return Pipeline(stages=[assembler, trees]).fit(rows)
+    return fit_trees(rows, MODEL_COLUMNS, "target_quantity", trees, held_out="_held_out")
 
 
-def predict_daily(model: Transformer, matrix: DataFrame) -> DataFrame:
+def predict_daily(model: BoostedTrees | Transformer, matrix: DataFrame) -> DataFrame:
     """P14. ``predicted`` = the model's value, clipped at zero."""
     return (
         model.transform(matrix)
@@ -95,7 +95,7 @@ def predict_daily(model: Transformer, matrix: DataFrame) -> DataFrame:
 
 def predict_with_fallback(
     frame: DataFrame,
-    model: Transformer,
+    model: BoostedTrees | Transformer,
     ids: DataFrame,
     max_items: int | None = None,
 ) -> DataFrame:
@@ -130,101 +130,119 @@ def source_counts(forecast: DataFrame) -> DataFrame:
 # -- direct models --------------------------------------------------------------------------------------
 
 
-def _assembled(rows: DataFrame) -> DataFrame:
-    # Expression text is one call to the JVM; the recursion builds this projection at every step.
-    others = [c for c in rows.columns if c not in DIRECT_COLUMNS]
-    typed = rows.selectExpr(*others, *[f"coalesce(cast({c} AS double), 0.0D) AS {c}" for c in DIRECT_COLUMNS])
-    return VectorAssembler(inputCols=DIRECT_COLUMNS, outputCol="_features").transform(typed)
+def _with_validation(train: DataFrame, validation: DataFrame | None) -> DataFrame:
+    columns = [*DIRECT_COLUMNS, "target", "sample_weight"]
+    rows = train.select(*columns).withColumn("_held_out", F.lit(False))
+    if validation is not None:
+        rows = rows.unionByName(validation.select(*columns).withColumn("_held_out", F.lit(True)))
+    return rows.filter(F.col("sample_weight") > 0)
 
 
-def _with_validation(train: DataFrame, validation: DataFrame) -> DataFrame:
-    columns = [*DIRECT_COLUMNS, "target", "sample_weight"]
-    return (
-        train.select(*columns)
-        .withColumn("_held_out", F.lit(False))
-        .unionByName(validation.select(*columns).withColumn("_held_out", F.lit(True)))
-        .filter(F.col("sample_weight") > 0)
-    )
+def direct_trees(loss: str, cfg: DirectConfig, least_rows: int, seed: int) -> TreeSettings:
+    """Settings of one direct model."""
+    return TreeSettings(loss, rounds=cfg.max_iter, depth=cfg.max_depth, step=cfg.step_size, least_rows=least_rows, seed=seed)
 
 
 @dataclass(frozen=True)
 class TwoStageModel:
     """Probability of a sale times the quantity given a sale."""
 
-    classifier: Transformer
-    regressor: Transformer
+    classifier: BoostedTrees
+    regressor: BoostedTrees
+
+    def value_of(self, features: str):
+        """Prediction as a column, from an array column of the direct features."""
+        return positive_part(self.classifier.value_of(features) * self.regressor.value_of(features))
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Adds ``yhat`` = P(sale) * E[quantity | sale], clipped at zero."""
-        scored = self.regressor.transform(self.classifier.transform(_assembled(rows)))
-        chance = vector_to_array("_sale_probability")[1]
-        return scored.withColumn("yhat", positive_part(chance * F.col("_quantity"))).drop(
-            "_features", "_sale_raw", "_sale_probability", "_sale", "_quantity"
-        )
-
+        return rows.withColumn("_x", feature_array(DIRECT_COLUMNS)).withColumn("yhat", self.value_of("_x")).drop("_x")
 
-def fit_two_stage(train: DataFrame, validation: DataFrame, cfg: DirectConfig) -> TwoStageModel:
-    """M10, F6. Weighted sale classifier on all rows and weighted quantity trees on rows with a sale.
-
-    Spark's trees have no Poisson loss; the quantity model uses squared error on the positive rows.
-    """
-    rows = _assembled(_with_validation(train, validation)).withColumn("_sold", (F.col("target") > 0).cast("double"))
-    rows = rows.persist()
-    try:
-        options = dict(
-            featuresCol="_features",
-            weightCol="sample_weight",
-            validationIndicatorCol="_held_out",
-            maxIter=cfg.max_iter,
-            maxDepth=cfg.max_depth,
-            stepSize=cfg.step_size,
-            subsamplingRate=0.85,
-        )
-        trees = GBTClassifier(labelCol="_sold", predictionCol="_sale", seed=cfg.seed, **options)
-        classifier = trees.setRawPredictionCol("_sale_raw").setProbabilityCol("_sale_probability").fit(rows)
-        regressor = GBTRegressor(
-            labelCol="target", predictionCol="_quantity", seed=cfg.seed + 1, **options
-        ).fit(rows.filter(F.col("target") > 0))
-    finally:
-        rows.unpersist()
-    return TwoStageModel(classifier, regressor)
+    def parts(self) -> dict[str, BoostedTrees]:
+        return {"classifier": self.classifier, "regressor": self.regressor}
 
 
 @dataclass(frozen=True)
 class TweedieModel:
-    regressor: Transformer
+    regressor: BoostedTrees
+
+    def value_of(self, features: str):
+        return positive_part(self.regressor.value_of(features))
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Adds ``yhat``, clipped at zero."""
-        scored = self.regressor.transform(_assembled(rows))
-        return scored.withColumn("yhat", positive_part(F.col("_quantity"))).drop("_features", "_quantity")
-
-
-def fit_tweedie(train: DataFrame, cfg: DirectConfig) -> TweedieModel:
-    """M11. Single-stage Tweedie regression, variance power 1.2, log link, weighted rows."""
-    rows = _assembled(train.filter(F.col("sample_weight") > 0)).persist()  # the solver reads them in every iteration
-    try:
-        return TweedieModel(
-            GeneralizedLinearRegression(
-                family="tweedie",
-                variancePower=1.2,
-                linkPower=0.0,
-                featuresCol="_features",
-                labelCol="target",
-                weightCol="sample_weight",
-                predictionCol="_quantity",
-                regParam=2.0,
-                maxIter=cfg.max_iter,
-            ).fit(rows)
-        )
-    finally:
-        rows.unpersist()
-
-
-def feature_importances(model: TwoStageModel, spark) -> DataFrame:
-    """M11. Importance of each direct feature in the quantity trees, largest first."""
-    values = [float(v) for v in model.regressor.featureImportances.toArray()]
-    rows = list(zip(DIRECT_COLUMNS, values))
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(
-        F.desc("importance"), "feature"
+        return rows.withColumn("_x", feature_array(DIRECT_COLUMNS)).withColumn("yhat", self.value_of("_x")).drop("_x")
+
+    def parts(self) -> dict[str, BoostedTrees]:
+        return {"regressor": self.regressor}
+
+
+def fit_two_stage(train: DataFrame, validation: DataFrame | None, cfg: DirectConfig) -> TwoStageModel:
+    """M10, F6. Weighted sale classifier on all rows and a weighted Poisson model of the quantity on rows with a sale."""
+    rows = _with_validation(train, validation).withColumn("_sold", (F.col("target") > 0).cast("double"))
+    fit = lambda part, target, settings: fit_trees(part, DIRECT_COLUMNS, target, settings, "sample_weight", "_held_out")
+    return TwoStageModel(
+        fit(rows, "_sold", direct_trees("logistic", cfg, 80, cfg.seed)),
+        fit(rows.filter(F.col("target") > 0), "target", direct_trees("poisson", cfg, 50, cfg.seed + 1)),
     )
+
+
+def fit_tweedie(train: DataFrame, cfg: DirectConfig, validation: DataFrame | None = None) -> TweedieModel:
+    """M11. Single-stage Tweedie trees, variance power 1.2, log link, weighted rows."""
+    rows = _with_validation(train, validation)
+    return TweedieModel(fit_trees(rows, DIRECT_COLUMNS, "target", direct_trees("tweedie", cfg, 80, cfg.seed), "sample_weight", "_held_out"))
+
+
+Fitted = BoostedTrees | TwoStageModel | TweedieModel
+FAMILIES = {"trees": BoostedTrees, "two_stage": TwoStageModel, "tweedie": TweedieModel}
+
+
+def family_of(model: Fitted) -> str | None:
+    return next((name for name, kind in FAMILIES.items() if isinstance(model, kind)), None)
+
+
+def save_model(spark: SparkSession, model: Fitted, path: str) -> None:
+    """K7. A fitted model of any family, one folder per set of trees."""
+    if isinstance(model, BoostedTrees):
+        model.save(spark, path)
+        return
+    for name, part in model.parts().items():
+        part.save(spark, f"{path}/{name}")
+
+
+def load_model(spark: SparkSession, family: str, path: str) -> Fitted:
+    if family == "trees":
+        return BoostedTrees.load(spark, path)
+    names = ("classifier", "regressor") if family == "two_stage" else ("regressor",)
+    return FAMILIES[family](*(BoostedTrees.load(spark, f"{path}/{name}") for name in names))
+
+
+def _quantity_trees(model: Fitted) -> BoostedTrees:
+    return model if isinstance(model, BoostedTrees) else model.regressor
+
+
+def feature_importances(model: Fitted, spark: SparkSession) -> DataFrame:
+    """M11. (feature, importance, splits) of the quantity trees of any family: share of all gain, number of splits."""
+    rows = _quantity_trees(model).importances()
+    total = sum(r[1] for r in rows) or 1.0
+    table = spark.createDataFrame([(n, g / total, s) for n, g, s in rows], "feature string, importance double, splits int")
+    return table.orderBy(F.desc("importance"), "feature")
+
+
+def exchange_importances(model: Fitted, rows: DataFrame) -> DataFrame:
+    """M11. (feature, loss, importance) of any family by exchanging each feature between rows with a known target."""
+    if isinstance(model, BoostedTrees):
+        return permutation_importance(rows, model.features, "target_quantity", model.value_of)
+    return permutation_importance(rows, DIRECT_COLUMNS, "target", model.value_of, "sample_weight")
+
+
+def held_out_curves(model: Fitted, spark: SparkSession) -> DataFrame:
+    """M9, M10. (part, round, held_out, is_best): the held-out measure after every round of each set of trees."""
+    parts = {"trees": model} if isinstance(model, BoostedTrees) else model.parts()
+    rows = [(n, i, float(v), i == t.best_round) for n, t in parts.items() for i, v in enumerate(t.curve, 1)]
+    return spark.createDataFrame(rows, "part string, round int, held_out double, is_best boolean")
+
+
+def best_rounds(model: Fitted) -> dict[str, int]:
+    parts = {"trees": model} if isinstance(model, BoostedTrees) else model.parts()
+    return {name: trees.best_round for name, trees in parts.items()}

@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml import Transformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.config import DEFAULT_LOOKBACK_DAYS, MAX_HORIZON
 from shelfcast.operators.baselines import FRAME_BASELINES, frame_baselines
+from shelfcast.operators.boosting import BoostedTrees
 from shelfcast.operators.frames import inference_frame, require_rows, time_split, training_frame
 from shelfcast.operators.models import (
     DailyModelSettings,
@@ -45,7 +46,7 @@ def build_features(
 
 @dataclass(frozen=True)
 class TrainingResult:
-    model: PipelineModel
+    model: BoostedTrees
     report: DataFrame
     passed: bool
 
@@ -74,7 +75,7 @@ def train_and_evaluate(
 def forecast_rows(
     gold: DataFrame,
     items: DataFrame,
-    model: Transformer,
+    model: BoostedTrees | Transformer,
     ids: DataFrame,
     forecast_date: str | dt.date,
     max_horizon: int = MAX_HORIZON,
@@ -87,7 +88,7 @@ def forecast_rows(
 def run_batch_forecast(
     store: TableStore,
     runs: RunStore,
-    model: Transformer,
+    model: BoostedTrees | Transformer,
     model_name: str,
     model_version: str,
     feature_version: str,

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from shelfcast.config import DirectConfig
 from shelfcast.operators.baselines import baseline_forecast
-from shelfcast.operators.blend import best_alpha, blend_grid, blend_with_model
+from shelfcast.operators.blend import best_alpha, blend_grid, blend_with_model, share_grid
 from shelfcast.operators.direct import direct_dataset, fit_end, forecast_features, newest_rows
-from shelfcast.operators.models import fit_tweedie, fit_two_stage
+from shelfcast.operators.models import best_rounds, feature_importances, fit_tweedie, fit_two_stage, held_out_curves
 from shelfcast.operators.postprocess import apply_rules
 from shelfcast.operators.profile import item_profile
 from shelfcast.operators.recursive import recursive_forecasts
@@ -58,11 +58,9 @@ def fit_for(daily: DataFrame, items: DataFrame, profile: DataFrame, fit_day, val
     overlap the training rows.
     """
     fixed = _static_of(items, profile)
-    train = direct_dataset(daily, fixed, fit_day, cfg)
-    if family == "tweedie":
-        return fit_tweedie(train, cfg)
-    held_out = newest_rows(direct_dataset(daily, fixed, valid_day, cfg, origins_end_offset=cfg.horizon), cfg)
-    return fit_two_stage(train, held_out, cfg)
+    train = written_table(direct_dataset(daily, fixed, fit_day, cfg))
+    held_out = written_table(newest_rows(direct_dataset(daily, fixed, valid_day, cfg, origins_end_offset=cfg.horizon), cfg))
+    return fit_tweedie(train, cfg, held_out) if family == "tweedie" else fit_two_stage(train, held_out, cfg)
 
 
 def evaluate(
@@ -93,11 +91,10 @@ def evaluate(
     if cfg.recursive:
         alphas = [step / 20 for step in range(21)]
         tried = written_table(recursive_forecasts(daily, items, model, train_end, cfg, alphas))
-        of = lambda alpha: tried.filter(F.col("alpha") == alpha).drop("alpha")
-        rows = [(alpha, score(of(alpha))) for alpha in alphas]
-        grid = daily.sparkSession.createDataFrame(rows, "alpha double, wrmsse_56 double")
+        grid = written_table(share_grid(daily, tried, alphas, weights, train_end, cfg.horizon))
         alpha = best_alpha(grid, baseline_score)
-        chosen = of(alpha) if any(s < baseline_score for _, s in rows) else baseline
+        better = not grid.filter(F.col("wrmsse_56") < float(baseline_score)).isEmpty()
+        chosen = tried.filter(F.col("alpha") == alpha).drop("alpha") if better else baseline
     else:
         predicted = model.predict(forecast_features(daily, items, train_end, cfg)).select(
             "item_code", "target_date", "horizon", "yhat"
@@ -117,12 +114,16 @@ def evaluate(
         F.col("wrmsse").alias("hybrid_wrmsse"),
         only_top.scalar().alias("selected_items_wrmsse"),
         F.lit(float(alpha)).alias("best_alpha"),
+        F.lit(json.dumps(best_rounds(model))).alias("best_rounds"),
     )
     return Evaluation(summary, grid, by_item, chosen, model)
 
 
 def save_evaluation(store: TableStore, name: str, result: Evaluation) -> None:
-    """K7. Grid, scores and the chosen forecast of an evaluation."""
+    """K7. Grid, scores, held-out curves, importances and the chosen forecast of an evaluation."""
+    spark = result.scores.sparkSession
+    store.save_csv(f"held_out_curves_{name}", held_out_curves(result.model, spark), single_file=True)
+    store.save_csv(f"feature_importances_{name}", feature_importances(result.model, spark), single_file=True)
     store.save_csv(f"blend_grid_{name}", result.grid, single_file=True)
     store.save_csv(f"scores_{name}", result.scores, single_file=True)
     store.save_artifact(f"item_scores_{name}", result.by_item)

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.operators.models import Fitted, best_rounds, family_of, load_model, save_model
 from shelfcast.operators.serving import choose_model_version
 
 STAGES = ("Production", "Staging", "None")
-VERSION_SCHEMA = "name string, version string, stage string, path string, feature_version string, passed boolean"
+VERSION_SCHEMA = "name string, version string, stage string, path string, feature_version string, passed boolean, family string, best_rounds string"
 
 
 class ModelStore:
-    """Fitted pipelines under one root folder, each with its training items; a version is written once.
+    """Fitted models under one root folder, each with its training items; a version is written once.
+
+    Models are boosted trees of any family (``family`` names it, ``best_rounds`` the rounds in use) or a pipeline.
 
     ``versions`` gets its row last, so a model that was written in part is never found.
     """
@@ -25,13 +29,13 @@ class ModelStore:
         self.root = root.rstrip("/")
 
     def versions(self) -> DataFrame:
-        """(name, version, stage, path, feature_version, passed) of every saved version."""
+        """(name, version, stage, path, feature_version, passed, family, best_rounds) of every saved version."""
         self._write_versions([])
         return self.spark.read.schema(VERSION_SCHEMA).parquet(f"{self.root}/versions")
 
     def save(
         self,
-        model: PipelineModel,
+        model: Fitted | PipelineModel,
         ids: DataFrame,
         name: str,
         version: str,
@@ -49,15 +53,21 @@ class ModelStore:
         if not known.isEmpty():
             raise ValueError(f"Version {version} of model '{name}' exists")
         path = f"{self.root}/models/{name}/{version}"
-        model.write().overwrite().save(f"{path}/pipeline")
+        family = family_of(model)
+        if family:
+            save_model(self.spark, model, f"{path}/{family}")
+        else:
+            model.write().overwrite().save(f"{path}/pipeline")
         ids.select("item_code", "item_code_id").write.mode("overwrite").parquet(f"{path}/items")
-        self._write_versions([(name, version, stage, path, feature_version, passed)])
+        rounds = json.dumps(best_rounds(model)) if family else None
+        self._write_versions([(name, version, stage, path, feature_version, passed, family, rounds)])
         return path
 
-    def load(self, name: str) -> tuple[PipelineModel, DataFrame, dict]:
+    def load(self, name: str) -> tuple[Fitted | PipelineModel, DataFrame, dict]:
         """T7, K7. (model, ids, version row) of the version to use: Production first, then the newest Staging."""
         row = choose_model_version(self.versions(), name).first().asDict()
-        model = PipelineModel.load(f"{row['path']}/pipeline")
+        family = row["family"]
+        model = load_model(self.spark, family, f"{row['path']}/{family}") if family else PipelineModel.load(f"{row['path']}/pipeline")
         return model, self.spark.read.parquet(f"{row['path']}/items"), row
 
     def _write_versions(self, rows: list[tuple]) -> None:

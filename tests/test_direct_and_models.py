@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -5,9 +6,10 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from shelfcast.config import DIRECT_COLUMNS, MODEL_COLUMNS, ORIGIN_LAGS, ORIGIN_WINDOWS, SOURCE_FALLBACK, SOURCE_MODEL, DirectConfig
-from shelfcast.operators import direct, frames, models, recursive, scoring
+from shelfcast.operators import baselines, blend, direct, frames, models, recursive, scoring
 from shelfcast.operators.profile import item_profile
 from shelfcast.plans import daily_model, direct_models
+from shelfcast.session import written_table
 from shelfcast.sources.model_store import ModelStore
 from shelfcast.sources.runs import RunStore
 from shelfcast.sources.tables import TableStore
@@ -193,6 +195,39 @@ def test_two_stage_evaluation_and_future(spark, daily):
     assert all(r[sunday] == 0.0 for r in wide[:4])
 
 
+@pytest.mark.parametrize("family", ["two_stage", "tweedie"])
+def test_saved_direct_models_forecast_the_same(spark, tmp_path, daily, family):
+    items = direct_models.choose(item_profile(daily, CUT), CFG)
+    profile = item_profile(daily, CUT)
+    model = direct_models.fit_for(daily, items, profile, CUT, CUT, CFG, family)
+    ids = models.item_ids(items)
+    saved = ModelStore(spark, str(tmp_path))
+    saved.save(model, ids, family, "1", "v1")
+    again, _, row = ModelStore(spark, str(tmp_path)).load(family)
+    assert row["family"] == family and json.loads(row["best_rounds"]) == models.best_rounds(model)
+    rows = written_table(direct.forecast_features(daily, items, CUT, CFG))
+    before, after = (sorted(map(str, m.predict(rows).select("item_code", "horizon", "yhat").collect())) for m in (model, again))
+    assert before == after and len(before) == CFG.top_n * CFG.horizon
+    curves = models.held_out_curves(model, spark)
+    assert curves.filter("is_best").count() == len(model.parts())
+    train = direct.direct_dataset(daily, items, CUT, CFG)
+    exchanged = models.exchange_importances(model, train)
+    assert exchanged.count() == len(DIRECT_COLUMNS)
+    unused = {n for n, _, splits in model.regressor.importances() if not splits}
+    if family == "tweedie":
+        assert all(abs(r["importance"]) < 1e-9 for r in exchanged.collect() if r["feature"] in unused)
+
+
+def test_shares_scored_together_equal_one_by_one(spark, daily):
+    base = baselines.baseline_forecast(daily, CUT - 60 * DAY, "median_56")
+    tried = base.withColumn("alpha", F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0)))).withColumn("yhat", F.col("yhat") * (1 + F.col("alpha")))
+    weights = item_profile(daily, CUT - 60 * DAY)
+    got = by(blend.share_grid(daily, tried, [0.0, 0.5, 1.0], weights, CUT - 60 * DAY), "alpha")
+    for alpha in (0.0, 0.5, 1.0):
+        one = scoring.wrmsse(scoring.wrmsse_by_item(daily, tried.filter(F.col("alpha") == alpha), weights, CUT - 60 * DAY)).first()["wrmsse"]
+        assert got[alpha]["wrmsse_56"] == pytest.approx(one)
+
+
 class Constant:
     """A model that always says 4."""
 

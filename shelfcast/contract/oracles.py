@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from shelfcast.config import (
     CALENDAR_COLUMNS,
+    DIRECT_COLUMNS,
     HISTORY_COLUMNS,
     LAG_DAYS,
     ORIGIN_LAGS,
     ORIGIN_WINDOWS,
+    STATIC_COLUMNS,
 )
 from shelfcast.contract.queries import (
     DIGITS,
@@ -455,6 +457,36 @@ TARGET_CALENDAR = """CAST(isodow(target_date) - 1 AS INTEGER) AS target_dow, CAS
   CAST(month(target_date) AS INTEGER) AS target_month, CAST(week(target_date) AS INTEGER) AS target_week"""
 ORIGIN_COLUMNS = [f"lag_{k}" for k in ORIGIN_LAGS] + [f"{s}_{n}" for n in ORIGIN_WINDOWS for s in ("mean", "max", "active")]
 
+DIRECT_DOUBLES = [*ORIGIN_COLUMNS, "days_since_last_sale", *[c for c in STATIC_COLUMNS if c != "active_days"]]
+SAMPLE_WEIGHTS = """sample_weights AS (SELECT item_code, greatest(raw / avg(CASE WHEN raw > 0 THEN raw END) OVER (), 0) AS sample_weight
+FROM (SELECT item_code, profit_weight / rmsse_denom AS raw FROM chosen JOIN scale USING (item_code)))"""
+DIRECT_JOINED = f"""(SELECT d.* EXCLUDE (pos), item_id, {', '.join(STATIC_COLUMNS)}, sample_weight, {TARGET_CALENDAR}
+  FROM direct d JOIN chosen c USING (item_code) JOIN sample_weights w USING (item_code))"""
+
+
+def root_split() -> tuple[str, ...]:
+    """Gradients of the Poisson loss at the mean, summed over every feature and bin, and the gain of every border."""
+    names = ", ".join(f"'{c}'" for c in DIRECT_COLUMNS)
+    values = ", ".join(f"CAST({c} AS DOUBLE)" for c in DIRECT_COLUMNS)
+    shares = ", ".join(repr(i / 64) for i in range(1, 64))
+    part = lambda g, h: f"{g} * {g} / ({h} + 2e0)"
+    return (
+        f"sold AS MATERIALIZED (SELECT * FROM {DIRECT_JOINED} WHERE target > 0 AND sample_weight > 0)",
+        "mean AS (SELECT sum(sample_weight * target) / sum(sample_weight) AS mu FROM sold)",
+        f"""derived AS (SELECT [{values}] AS x, CAST(round(sample_weight * (mu - target) * 1048576e0) AS HUGEINT) AS g,
+    CAST(round(sample_weight * mu * 1048576e0) AS HUGEINT) AS h FROM sold, mean)""",
+        f"""long AS MATERIALIZED (SELECT unnest(range({len(DIRECT_COLUMNS)})) AS i, unnest(x) AS x, unnest([{names}]) AS feature, g, h FROM derived)""",
+        f"borders AS (SELECT i, list_sort(list_distinct(quantile_disc(x, [{shares}]))) AS cuts FROM long GROUP BY i)",
+        """binned AS (SELECT i, feature, cuts, len(list_filter(cuts, lambda c: c < x)) AS bin, sum(g) AS g, sum(h) AS h, count(*) AS n
+  FROM long JOIN borders USING (i) GROUP BY ALL)""",
+        """summed AS (SELECT i, feature, cuts, bin, CAST(sum(g) OVER upto AS DOUBLE) / 1048576e0 AS g_left, CAST(sum(h) OVER upto AS DOUBLE) / 1048576e0 AS h_left,
+    CAST(sum(n) OVER upto AS DOUBLE) AS n_left, CAST(sum(g) OVER every AS DOUBLE) / 1048576e0 AS g, CAST(sum(h) OVER every AS DOUBLE) / 1048576e0 AS h,
+    CAST(sum(n) OVER every AS DOUBLE) AS n
+  FROM binned WINDOW upto AS (PARTITION BY i ORDER BY bin ROWS UNBOUNDED PRECEDING), every AS (PARTITION BY i))""",
+        f"splits AS (SELECT *, {part('g_left', 'h_left')} + {part('(g - g_left)', '(h - h_left)')} - {part('g', 'h')} AS gain FROM summed)",
+    )
+
+
 # -- the oracles ----------------------------------------------------------------------------------------
 
 BASE = with_(*daily(), DEMAND, *baselines())
@@ -564,7 +596,7 @@ FROM (SELECT is_return, unnest(string_split(error_reason, ';')) AS reason FROM s
   count(*) - count(DISTINCT (feature_version, as_of_date, item_code, horizon)) AS duplicate_keys,
   CAST({' + '.join(f"count(*) FILTER (isinf({c}))" for c in HISTORY_DOUBLES)} AS BIGINT) AS infinite_features FROM frame""",
     "inference_frame": rounded(
-        with_(tx("part"), GOLD, inference_panel(CUT, 200), *history(), inference(7)) + "SELECT * FROM inference", *HISTORY_DOUBLES
+        with_(tx("part"), GOLD, inference_panel(CUT, 200), *history(), inference(56)) + "SELECT * FROM inference", *HISTORY_DOUBLES
     ),
     "inference_frame_brand": rounded(
         with_(tx(), GOLD, inference_panel(CUT, 730), *history(), inference(56)) + "SELECT * FROM inference", *HISTORY_DOUBLES
@@ -677,28 +709,30 @@ FROM rows_of WHERE target_date = DATE '2001-09-03' GROUP BY target_date""",
         "days_since_last_sale",
     ),
     "direct_dataset": rounded(
-        with_(*direct_rows())
-        + f"""SELECT d.item_code, origin_date, horizon, target_date, item_id, lag_1, lag_364, mean_28, active_56, d.days_since_last_sale,
-  {TARGET_CALENDAR}, zero_ratio, active_days, avg_qty_when_active, return_ratio, target
-FROM direct d JOIN chosen c ON c.item_code = d.item_code""",
-        "lag_1", "lag_364", "mean_28", "active_56", "days_since_last_sale", "zero_ratio", "avg_qty_when_active", "return_ratio", "target",
+        with_(*direct_rows(), scale(), SAMPLE_WEIGHTS)
+        + f"SELECT item_code, origin_date, target_date, {', '.join(DIRECT_COLUMNS)}, target, sample_weight FROM {DIRECT_JOINED}",
+        *DIRECT_DOUBLES, "target", "sample_weight",
+    ),
+    "poisson_root_split": rounded(
+        with_(*direct_rows(), scale(), SAMPLE_WEIGHTS, *root_split())
+        + """SELECT feature, cuts[bin + 1] AS threshold, gain, CAST(n_left AS BIGINT) AS rows_left, CAST(n AS BIGINT) AS rows
+FROM splits WHERE least(n_left, n - n_left) >= 50 AND least(h_left, h - h_left) >= 1e-3 ORDER BY gain DESC, i, bin LIMIT 1""",
+        "threshold", "gain",
     ),
     "direct_newest_rows": with_(*direct_rows(56))
     + f"""SELECT origin_date, count(*) AS rows FROM (SELECT d.origin_date FROM direct d JOIN chosen c ON c.item_code = d.item_code
   ORDER BY d.origin_date DESC, d.horizon DESC, c.item_id DESC LIMIT {DIRECT.top_n * 56 * 8}) GROUP BY origin_date""",
     "direct_forecast_features": rounded(
         with_(*daily(), DEMAND, profile(), CHOSEN, *origins())
-        + f"""SELECT item_code, origin_date, target_date, horizon, lag_1, lag_7, mean_56, max_112, days_since_last_sale,
-  CAST(week(target_date) AS INTEGER) AS target_week
-FROM featured CROSS JOIN (SELECT CAST(h AS INTEGER) AS horizon, CAST({CUT} + CAST(h AS INTEGER) AS DATE) AS target_date FROM (SELECT unnest(generate_series(1, 56)) AS h))
-WHERE origin_date = CAST({CUT} + 1 AS DATE)""",
-        "lag_1", "lag_7", "mean_56", "max_112", "days_since_last_sale",
-    ),
+        + f"""SELECT item_code, origin_date, target_date, {', '.join(DIRECT_COLUMNS)} FROM (
+  SELECT f.* EXCLUDE (pos), horizon, target_date, item_id, {', '.join(STATIC_COLUMNS)}, {TARGET_CALENDAR}
+  FROM featured f JOIN chosen c USING (item_code)
+  CROSS JOIN (SELECT CAST(h AS INTEGER) AS horizon, CAST({CUT} + CAST(h AS INTEGER) AS DATE) AS target_date FROM (SELECT unnest(generate_series(1, 56)) AS h))
+  WHERE origin_date = CAST({CUT} + 1 AS DATE))""",
+        *DIRECT_DOUBLES,
+    ),
     "sample_weights": rounded(
-        with_(*daily(), DEMAND, profile(), CHOSEN, scale())
-        + """SELECT item_code, greatest(raw / avg(CASE WHEN raw > 0 THEN raw END) OVER (), 0) AS sample_weight
-FROM (SELECT item_code, profit_weight / rmsse_denom AS raw FROM chosen JOIN scale USING (item_code))""",
-        "sample_weight",
+        with_(*daily(), DEMAND, profile(), CHOSEN, scale(), SAMPLE_WEIGHTS) + "SELECT * FROM sample_weights", "sample_weight"
     ),
     "alpha_grid": rounded(
         with_(*daily(), DEMAND, profile(), CHOSEN, *baselines(), scale())

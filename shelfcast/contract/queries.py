@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.config import HISTORY_COLUMNS, DirectConfig, KeyItemRule
+from shelfcast.config import DIRECT_COLUMNS, HISTORY_COLUMNS, DirectConfig, KeyItemRule
 from shelfcast.contract import transactions as tx
 from shelfcast.functions.text import vn_decimal
-from shelfcast.operators import baselines, blend, direct, frames, history, models, panel, postprocess, quality
+from shelfcast.operators import baselines, blend, boosting, direct, frames, history, models, panel, postprocess, quality
 from shelfcast.operators import recursive, scoring, selection, serving, wide
 from shelfcast.operators.cleaning import explode_errors
 from shelfcast.operators.daily import gold_daily_sales, strict_daily_sales, type_transactions
@@ -40,9 +40,7 @@ RULES = [
     KeyItemRule("BRAND-2", 0.15, 26, "mean", True, True),
     KeyItemRule("BRAND-3", 0.0, 8, "mean", False, False),
 ]
-DIRECT = DirectConfig(
-    top_n=10, origin_lookback_days=365, origin_stride=14, end_of_selling_since=ENDED_SINCE, max_iter=5, max_depth=3
-)
+DIRECT = DirectConfig(end_of_selling_since=ENDED_SINCE)
 
 
 def rounded(frame: DataFrame) -> DataFrame:
@@ -220,7 +218,7 @@ def inference_frame(spark, sf):
     gold = _gold(spark, sf, "part")
     items = selection.active_items(gold, 200)
     window = selection.gold_window(gold, TRAIN_END, 200)
-    return rounded(frames.inference_frame(window, items, TRAIN_END, 7))
+    return rounded(frames.inference_frame(window, items, TRAIN_END, 56))
 
 
 def inference_frame_brand(spark, sf):
@@ -238,7 +236,7 @@ def training_skus(spark, sf):
     store = TableStore(spark, work_folder(spark))
     gold = _gold(spark, sf)
     for version, size in (("v1", TOP), ("v2", 5)):
-        store.replace_slice("features", frames.training_frame(gold, version, size, 2, 3), version)
+        store.replace_slice("features", frames.training_frame(gold, version, size, 60, 56), version)
     return selection.training_items(store.read("features"), "v2")
 
 
@@ -500,14 +498,7 @@ def origin_features(spark, sf):
 
 def direct_dataset(spark, sf):
     daily = _daily(spark, sf)
-    rows = direct.direct_dataset(daily, _chosen(daily), TRAIN_END, DIRECT)
-    return rounded(
-        rows.select(
-            "item_code", "origin_date", "horizon", "target_date", "item_id", "lag_1", "lag_364", "mean_28",
-            "active_56", "days_since_last_sale", "target_dow", "target_day", "target_month", "target_week",
-            "zero_ratio", "active_days", "avg_qty_when_active", "return_ratio", "target",
-        )
-    )
+    return rounded(direct.direct_dataset(daily, _chosen(daily), TRAIN_END, DIRECT))
 
 
 def direct_newest_rows(spark, sf):
@@ -520,7 +511,7 @@ def direct_newest_rows(spark, sf):
 def direct_forecast_features(spark, sf):
     daily = _daily(spark, sf)
     rows = direct.forecast_features(daily, _chosen(daily), TRAIN_END, DIRECT)
-    return rounded(rows.select("item_code", "origin_date", "target_date", "horizon", "lag_1", "lag_7", "mean_56", "max_112", "days_since_last_sale", "target_week"))
+    return rounded(rows)
 
 
 def sample_weights(spark, sf):
@@ -543,16 +534,23 @@ def blended_forecast(spark, sf):
     return rounded(blend.blend_with_model(base, model, 0.6))
 
 
+def poisson_root_split(spark, sf):
+    """The first split of the quantity model: all rows with a sale, all features, all bin borders."""
+    daily = _daily(spark, sf)
+    rows = written_table(direct.direct_dataset(daily, _chosen(daily), TRAIN_END, DIRECT).filter("target > 0"))
+    trees = models.direct_trees("poisson", DIRECT, 50, DIRECT.seed)
+    return rounded(boosting.root_split(rows, DIRECT_COLUMNS, "target", trees, "sample_weight"))
+
+
 # -- fitted models: rows only -------------------------------------------------------------------------
 
 
 def l1_gbt_forecast(spark, sf):
     gold = _gold(spark, sf)
-    frame = written_table(frames.training_frame(gold, "v1", 10, 30, 28))
+    frame = written_table(frames.training_frame(gold, "v1"))
     train, validation = frames.time_split(frame, 28)
     ids = models.item_ids(frame)
-    settings = models.DailyModelSettings(max_iter=5, max_depth=3)
-    model = models.fit_daily_model(models.model_matrix(train, ids), models.model_matrix(validation, ids), settings)
+    model = models.fit_daily_model(models.model_matrix(train, ids), models.model_matrix(validation, ids))
     items = selection.active_items(gold, 730)
     window = selection.gold_window(gold, TRAIN_END, 730)
     return daily_model.forecast_rows(window, items, model, ids, TRAIN_END)
@@ -565,8 +563,9 @@ def two_stage_forecast(spark, sf):
 
 def tweedie_forecast(spark, sf):
     daily = _daily(spark, sf)
-    items = _chosen(daily)
-    model = models.fit_tweedie(direct.direct_dataset(daily, items, TRAIN_END, DIRECT), DIRECT)
+    profile = item_profile(daily, TRAIN_END)
+    items = written_table(direct_models.choose(profile, DIRECT))
+    model = direct_models.fit_for(daily, items, profile, TRAIN_END, TRAIN_END, DIRECT, "tweedie")
     rows = model.predict(direct.forecast_features(daily, items, TRAIN_END, DIRECT))
     return rows.select("item_code", "target_date", "horizon", "yhat")
 
@@ -698,6 +697,7 @@ QUERIES: dict[str, Query] = {
     "direct_newest_rows": direct_newest_rows,
     "direct_forecast_features": direct_forecast_features,
     "sample_weights": sample_weights,
+    "poisson_root_split": poisson_root_split,
     "alpha_grid": alpha_grid,
     "blended_forecast": blended_forecast,
     "recursive_median": recursive_median,

@@ -15,6 +15,7 @@ from shelfcast.config import DIRECT_COLUMNS, NEVER_SOLD_DAYS, ORIGIN_LAGS, ORIGI
 from shelfcast.functions.dates import as_date, to_day
 from shelfcast.operators.panel import demand_panel
 from shelfcast.operators.scoring import rmsse_denominators
+from shelfcast.operators.selection import keep_items
 from shelfcast.session import broadcast_if_bounded, scalar
 
 FIRST_ORIGIN = 364  # origins need the longest lag
@@ -131,18 +132,49 @@ def direct_dataset(
     )
 
 
+def origin_as_of(daily: DataFrame, items: DataFrame, origin: Column, first_day: Column, max_items: int) -> DataFrame:
+    """W8 at the single day ``origin`` from the sales rows alone, for items with and without rows.
+
+    Empty days are never created: a window of n days divides by the days so far if these are fewer, and its largest
+    value is at least the zero of any empty day.
+    """
+    rows = keep_items(daily.filter(F.col("date") < origin), items, max_items)
+    rows = rows.groupBy("item_code", "date").agg(F.sum("sales_qty").cast("double").alias("qty"))
+    day, quantity = F.col("date"), F.col("qty")
+    span = F.datediff(origin, first_day)
+    recent = lambda n: day >= F.date_sub(origin, n)
+    total = lambda condition: F.coalesce(F.sum(F.when(condition, quantity)), F.lit(0.0))
+    sums = {f"lag_{k}": total(day == F.date_sub(origin, k)) for k in ORIGIN_LAGS}
+    for n in ORIGIN_WINDOWS:
+        sums[f"mean_{n}"] = total(recent(n))
+        sums[f"max_{n}"] = F.max(F.when(recent(n), quantity))
+        sums[f"_seen_{n}"] = F.count(F.when(recent(n), F.lit(1)))
+        sums[f"active_{n}"] = F.count(F.when(recent(n) & (quantity > 0), F.lit(1))).cast("double")
+    sums["_last_sale"] = F.max(F.when(quantity > 0, day))
+    found = items.select("item_code").distinct().join(rows.groupBy("item_code").agg(*[c.alias(n) for n, c in sums.items()]), "item_code", "left")
+    columns = {f"lag_{k}": F.coalesce(f"lag_{k}", F.lit(0.0)) for k in ORIGIN_LAGS}
+    for n in ORIGIN_WINDOWS:
+        length = F.least(F.lit(n), span)
+        whole = F.col(f"_seen_{n}") >= length
+        columns[f"mean_{n}"] = F.coalesce(F.try_divide(F.col(f"mean_{n}"), length), F.lit(0.0))
+        columns[f"max_{n}"] = F.when(whole, F.col(f"max_{n}")).otherwise(F.greatest(f"max_{n}", F.lit(0.0)))
+        columns[f"active_{n}"] = F.coalesce(f"active_{n}", F.lit(0.0))
+    recency = F.datediff(F.date_sub(origin, 1), "_last_sale")
+    columns |= {
+        "days_since_last_sale": F.coalesce(recency, F.lit(NEVER_SOLD_DAYS)).cast("double"),
+        "origin_dow": F.weekday(origin),
+        "origin_month": F.month(origin),
+        "origin_date": origin,
+    }
+    return found.select("item_code", *[c.alias(n) for n, c in columns.items()])
+
+
 def forecast_features(daily: DataFrame, items: DataFrame, train_end: str | dt.date, cfg: DirectConfig) -> DataFrame:
     """M8. The rows to predict: one origin, the day after ``train_end``, all horizons."""
     origin = F.date_add(as_date(train_end), 1)
-    first_day = scalar(daily, F.min("date"))
-    known = daily.filter(F.col("date") <= as_date(train_end))
-    panel = demand_panel(known, items, first_day, origin, max_items=cfg.top_n)
-    rows = (
-        origin_features(panel)
-        .filter(F.col("date") == origin)
-        .withColumnRenamed("date", "origin_date")
-        .withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(cfg.horizon))))
-        .withColumn("target_date", F.date_add("origin_date", F.col("horizon") - 1))
+    origins = origin_as_of(daily, items, origin, scalar(daily, F.min("date")), cfg.top_n)
+    rows = origins.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(cfg.horizon)))).withColumn(
+        "target_date", F.date_add("origin_date", F.col("horizon") - 1)
     )
     static = with_item_ids(items).select("item_code", "item_id", *STATIC_COLUMNS)
     joined = _with_target_calendar(rows).join(broadcast_if_bounded(static, cfg.top_n), "item_code")

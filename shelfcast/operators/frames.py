@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfcast.config import CALENDAR_COLUMNS, FEATURE_COLUMNS, HISTORY_COLUMNS, KEY_COLUMNS, MAX_HORIZON
 from shelfcast.functions.dates import as_date, with_calendar, with_horizons
-from shelfcast.operators.history import history_as_of, history_features
+from shelfcast.operators.history import history_as_of, windowed_features, with_expanding_median
 from shelfcast.operators.panel import listed_gold, panel_of
 from shelfcast.operators.selection import keep_items, top_volume_items
-from shelfcast.session import scalar
+from shelfcast.session import scalar, spread
 
 
 def _check_horizon(max_horizon: int) -> None:
@@ -38,10 +38,12 @@ def training_frame(
     ahead = F.array(*[F.lead("quantity_sold", h, 0.0).over(by_day) for h in range(1, max_horizon + 1)])
     cutoff = F.date_sub(last_day, max_horizon)
     anchors = (
-        history_features(panel)
+        windowed_features(panel)
         .withColumn("_ahead", ahead)
         .filter(F.col("date").between(F.date_sub(cutoff, as_of_days - 1), cutoff))
     )
+    # Co-partitioned with the panel: the median is answered for the anchors only.
+    anchors = with_expanding_median(anchors, spread(kept, "item_code"), scalar(kept, F.min("date")))
     rows = (
         anchors.withColumnRenamed("date", "as_of_date")
         .select("*", F.posexplode("_ahead").alias("_place", "target_quantity"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.config import LAG_DAYS
 from shelfcast.functions.numbers import median_with_zeros, safe_ratio, sample_std
+from shelfcast.session import scalar
 
 
 def by_day():
@@ -55,11 +56,10 @@ def rolling_columns(h: Column) -> dict[str, Column]:
 
 
 def expanding_columns(h: Column, rh: Column) -> dict[str, Column]:
-    """W3, W4, W5. Statistics of the shifted series from its start; the median is exact."""
+    """W3, W5. Statistics of the shifted series from its start."""
     sold, returned = F.sum(h).over(so_far()), F.sum(rh).over(so_far())
     return {
         "sku_avg_sales": F.avg(h).over(so_far()),
-        "sku_median_sales": F.percentile(h, F.lit(0.5)).over(so_far()),
         "sku_sales_std": F.coalesce(F.stddev_samp(h).over(so_far()), F.lit(0.0)),
         "sku_total_sales": sold,
         "sku_nonzero_sales_ratio": F.avg((h > 0).cast("double")).over(so_far()),
@@ -79,8 +79,32 @@ def _change(value: Column, base: Column) -> Column:
     return F.coalesce(F.try_divide(value, base) - 1.0, F.lit(0.0))
 
 
+def sorted_sales(rows: DataFrame) -> DataFrame:
+    """(item_code, _sales): positive quantities of each item with their days, by quantity; at most one per day."""
+    sale = F.when(F.col("quantity_sold") > 0, F.struct(F.col("quantity_sold").cast("double").alias("q"), F.col("date").alias("d")))
+    return rows.groupBy("item_code").agg(F.sort_array(F.collect_list(sale)).alias("_sales"))
+
+
+def with_expanding_median(days: DataFrame, rows: DataFrame, first_day: Column) -> DataFrame:
+    """W4. The exact median of the shifted series up to each of ``days``, from the item's sales alone.
+
+    Sales are sorted by quantity once per item; those before a day keep that order, and all other days up to it are
+    zeros. So a day costs one pass over the item's sales, and only the days that are asked for are answered.
+    """
+    met = days.join(sorted_sales(rows), "item_code", "left")
+    known = F.filter(F.coalesce("_sales", F.array().cast("array<struct<q:double,d:date>>")), lambda s: s["d"] < F.col("date"))
+    span = F.datediff("date", first_day) + 1
+    return met.withColumn("sku_median_sales", median_with_zeros(F.transform(known, lambda s: s["q"]), span)).drop("_sales")
+
+
 def history_features(panel: DataFrame) -> DataFrame:
-    """M1. All history features for every panel row; three window passes over one item partitioning."""
+    """M1. All history features for every row of a panel that starts on one day; the median from ``panel``'s sales."""
+    first_day = scalar(panel, F.min("date"))
+    return with_expanding_median(windowed_features(panel), panel, first_day)
+
+
+def windowed_features(panel: DataFrame) -> DataFrame:
+    """M1 without the median: three window passes over one item partitioning."""
     h, rh = F.col("_h"), F.col("_rh")
     first = with_shifted_series(panel)
     second = first.withColumns(

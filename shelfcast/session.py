@@ -95,13 +95,3 @@ def spread(frame: DataFrame, *keys: str) -> DataFrame:
     size the parts by the small input and leave the multiplied work to few tasks.
     """
     return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
-def use_all_cores(frame: DataFrame, *keys: str) -> DataFrame:
-    """Spread an input that arrives in fewer splits than the session has cores; else leave it untouched.
-
-    A single large row group is one task however many cores there are. Large tables come in enough splits and
-    are not shuffled here. ``keys`` hash the rows so that a repeated task yields the same partitions.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, *keys) if frame.rdd.getNumPartitions() < cores else frame

@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 from shelfcast.config import RAW_COLUMNS, RAW_FIELD_NAMES
 from shelfcast.operators.daily import type_transactions
+from shelfcast.session import written_table
+
+MAX_SPLIT_BYTES = 64 << 20  # of split offsets that every task may hold
 
 
 def _text_schema(columns: list[str]) -> T.StructType:
@@ -27,8 +30,9 @@ def read_raw(spark: SparkSession, path: str, batch_id: str, multi_line: bool = F
     """S2. All fields as text plus lineage; ``source_row_number`` is 1..n in file order.
 
     Rows are numbered without a global sort: each file split knows its start offset, so the number is the
-    place in the split plus the row counts of the earlier splits of the same file. Empty fields are "". The header of
-    the first file is checked at once, that of every other file when it is read.
+    place in the split plus the row counts of the earlier splits of the same file. The counts, one row per split, come
+    from a scan of their own and are broadcast if they measure less than ``MAX_SPLIT_BYTES``, so the text is not shuffled.
+    Empty fields are "". The header of the first file is checked at once, that of every other file when it is read.
     """
     check_header(spark, path)
     rows = (
@@ -56,6 +60,10 @@ def read_raw(spark: SparkSession, path: str, batch_id: str, multi_line: bool = F
             (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
         )
     )
+    splits = written_table(splits)
+    n_bytes = splits.agg(F.coalesce(F.sum(F.length("_path") + 24), F.lit(0))).first()[0]
+    if n_bytes <= MAX_SPLIT_BYTES:
+        splits = F.broadcast(splits)
     return rows.join(splits, ["_path", "_start"]).select(
         F.lit(batch_id).alias("batch_id"),
         "source_file",

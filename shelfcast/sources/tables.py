@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.session import delete_folder
+
 # Partition column of each table; gold has none because it is replaced as a whole.
 PARTITION_COLUMNS = {
     "raw": "batch_id",
@@ -18,8 +21,17 @@ PARTITION_COLUMNS = {
 }
 
 
+_WHOLE = "all"  # slice of a table without a partition column
+_VERSION = "_version"
+_POINTER = "name string, slice string, version string, number long"
+
+
 class TableStore:
-    """Tables under one root folder; every write is a parallel Parquet write."""
+    """Tables under one root folder; every write is a parallel Parquet write.
+
+    A replacement is a new folder, and visible once its pointer row is written, last. So a write that fails half-way
+    leaves the old rows; readers that began before a replacement still find theirs (the version before stays).
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -28,15 +40,43 @@ class TableStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def _pointers(self, table: str) -> dict[str, list[str]]:
+        """Versions of each slice of ``table``, newest first: one row per replacement."""
+        try:
+            rows = self.spark.read.schema(_POINTER).parquet(self.path("_pointers")).filter(F.col("name") == table).collect()
+        except AnalysisException:
+            rows = []
+        found: dict[str, list[str]] = {}
+        for row in sorted(rows, key=lambda r: (-r["number"], r["version"])):
+            found.setdefault(row["slice"], []).append(row["version"])
+        return found
+
+    def _folder(self, table: str, key: str, version: str) -> str:
+        partition = PARTITION_COLUMNS[table]
+        inner = f"/{partition}={key}" if partition else ""
+        return f"{self.path(table)}{inner}/{_VERSION}={version}"
+
+    def _read(self, table: str, slices: dict[str, list[str]]) -> DataFrame:
+        if not slices:
+            raise ValueError(f"Table '{table}' has no such rows yet")
+        folders = [self._folder(table, key, versions[0]) for key, versions in slices.items()]
+        return self.spark.read.option("basePath", self.path(table)).parquet(*folders).drop(_VERSION)
+
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(table))
+        """The newest version of every slice."""
+        return self._read(table, self._pointers(table))
 
     def exists(self, table: str) -> bool:
-        try:
-            self.read(table)
-        except AnalysisException:
-            return False
-        return True
+        return bool(self._pointers(table))
+
+    def _replace(self, table: str, key: str, frame: DataFrame) -> None:
+        versions = self._pointers(table).get(key, [])
+        version = uuid.uuid4().hex
+        frame.write.parquet(self._folder(table, key, version))
+        pointer = self.spark.createDataFrame([(table, key, version, len(versions))], _POINTER).coalesce(1)
+        pointer.write.mode("append").parquet(self.path("_pointers"))
+        for old in versions[1:2]:
+            delete_folder(self.spark, self._folder(table, key, old))
 
     def replace_slice(self, table: str, frame: DataFrame, key: str) -> None:
         """K1, K3. Replace one batch or feature version by ``frame``; an empty frame leaves it empty.
@@ -48,16 +88,20 @@ class TableStore:
             raise ValueError(f"Not a slice name: {key!r}")
         foreign = F.raise_error(F.lit(f"a row of another {partition} than {key}")).cast("boolean")
         own = frame.filter(F.when(F.col(partition).eqNullSafe(F.lit(key)), F.lit(True)).otherwise(foreign))
-        writer = own.drop(partition).write.mode("overwrite").option("partitionOverwriteMode", "static")
-        writer.parquet(f"{self.path(table)}/{partition}={key}")
+        self._replace(table, key, own.drop(partition))
 
     def replace_all(self, table: str, frame: DataFrame) -> None:
         """K2. Replace the whole table, so gold holds only the batch processed last."""
-        frame.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.path(table))
+        self._replace(table, _WHOLE, frame)
+
+    def slice(self, table: str, key: str) -> DataFrame:
+        """The newest version of one slice; no other folder is opened."""
+        versions = self._pointers(table)
+        return self._read(table, {key: versions[key]} if key in versions else {})
 
     def batch(self, table: str, batch_id: str) -> DataFrame:
-        """S6. One batch; a partition filter, so other batches are not opened."""
-        return self.read(table).filter(F.col("batch_id") == batch_id)
+        """S6. One batch."""
+        return self.slice(table, batch_id)
 
     def gold(self) -> DataFrame:
         """S5. All gold columns."""
@@ -68,8 +112,8 @@ class TableStore:
         return self.gold().select("date", "item_code", "quantity_sold", "return_quantity", "avg_unit_price")
 
     def features(self, feature_version: str) -> DataFrame:
-        """S10. One feature version; a partition filter."""
-        return self.read("features").filter(F.col("feature_version") == feature_version)
+        """S10. One feature version."""
+        return self.slice("features", feature_version)
 
     def save_artifact(self, name: str, frame: DataFrame) -> None:
         """K7. Intermediate results as Parquet."""

@@ -12,6 +12,7 @@ from shelfcast.config import (
     LAG_DAYS,
     ORIGIN_LAGS,
     ORIGIN_WINDOWS,
+    RAW_FIELD_NAMES,
     STATIC_COLUMNS,
 )
 from shelfcast.contract.queries import (
@@ -420,9 +421,9 @@ def origins() -> tuple[str, ...]:
     )
 
 
-def direct_rows(offset: int = 0) -> tuple[str, ...]:
+def direct_rows(offset: int = 0, grain: str = "brand") -> tuple[str, ...]:
     return (
-        *daily(),
+        *daily(grain),
         DEMAND,
         profile(),
         CHOSEN,
@@ -457,6 +458,11 @@ TARGET_CALENDAR = """CAST(isodow(target_date) - 1 AS INTEGER) AS target_dow, CAS
   CAST(month(target_date) AS INTEGER) AS target_month, CAST(week(target_date) AS INTEGER) AS target_week"""
 ORIGIN_COLUMNS = [f"lag_{k}" for k in ORIGIN_LAGS] + [f"{s}_{n}" for n in ORIGIN_WINDOWS for s in ("mean", "max", "active")]
 
+ALPHA_GRID = """SELECT a AS alpha, sum(profit_weight * sqrt(mse / rmsse_denom)) / sum(profit_weight) AS wrmsse_56
+FROM (SELECT a, b.item_code, avg(({model} - d.qty) ** 2) AS mse
+  FROM base b JOIN demand d ON d.item_code = b.item_code AND d.date = b.target_date
+  CROSS JOIN (SELECT unnest(generate_series(0, 20)) / 20e0 AS a) GROUP BY a, b.item_code)
+JOIN scale USING (item_code) JOIN profile USING (item_code) GROUP BY a"""
 DIRECT_DOUBLES = [*ORIGIN_COLUMNS, "days_since_last_sale", *[c for c in STATIC_COLUMNS if c != "active_days"]]
 SAMPLE_WEIGHTS = """sample_weights AS (SELECT item_code, greatest(raw / avg(CASE WHEN raw > 0 THEN raw END) OVER (), 0) AS sample_weight
 FROM (SELECT item_code, profit_weight / rmsse_denom AS raw FROM chosen JOIN scale USING (item_code)))"""
@@ -540,7 +546,33 @@ WHERE item_code IN (SELECT item_code FROM profile WHERE active_days >= 50 AND da
     "silver_errors_by_reason": with_(*from_text())
     + """SELECT reason, count(*) AS rows, count(*) FILTER (is_return) AS return_rows
 FROM (SELECT is_return, unnest(string_split(error_reason, ';')) AS reason FROM silver WHERE NOT is_valid) GROUP BY reason""",
-    "csv_ingest": "SELECT CAST(count(*) AS BIGINT) AS raw_rows, true AS row_numbers_contiguous FROM lineitem",
+    "csv_ingest": with_(tx(), text())
+    + f"SELECT {', '.join('CAST(stt AS VARCHAR) AS stt_raw' if c == 'stt_raw' else c for c in RAW_FIELD_NAMES)}, true AS row_numbers_contiguous FROM file",
+    "replaced_gold": rounded(with_(tx(), GOLD) + "SELECT * FROM gold", *GOLD_DOUBLES),
+    "gold_for_features": rounded(
+        with_(tx(), GOLD) + "SELECT date, item_code, quantity_sold, return_quantity, avg_unit_price FROM gold",
+        "quantity_sold", "return_quantity", "avg_unit_price",
+    ),
+    "features_in_training_order": FRAME_WITH
+    + """SELECT row_number() OVER (ORDER BY target_date, item_code, horizon, as_of_date) AS place, target_date, item_code, horizon, as_of_date
+FROM frame""",
+    "model_matrix": rounded(
+        with_(tx(), GOLD, top_volume(TOP), inference_panel(CUT, 730), *history(), inference(56))
+        + f"""SELECT i.item_code, horizon, {', '.join(f'CAST(CAST({c} AS INTEGER) AS DOUBLE) AS {c}' for c in CALENDAR_COLUMNS)},
+  {', '.join(f'coalesce(CAST({c} AS DOUBLE), 0) AS {c}' for c in HISTORY_COLUMNS)}, CAST(coalesce(item_code_id, -1) AS DOUBLE) AS item_code_id
+FROM inference i LEFT JOIN (SELECT item_code, row_number() OVER (ORDER BY item_code) - 1 AS item_code_id FROM top) t ON t.item_code = i.item_code""",
+        *CALENDAR_COLUMNS, *HISTORY_COLUMNS, "item_code_id",
+    ),
+    "batch_forecast_run": rounded(with_(*HYBRID) + "SELECT 'run-1' AS run_id, * FROM hybrid", "predicted_quantity"),
+    "loaded_wide_forecast": rounded(
+        BASE
+        + f"""SELECT 'run-1' AS run_id, {CUT} AS forecast_date, item_code, target_date, horizon,
+  CASE WHEN item_code = 'BRAND-7' THEN mean_28 ELSE same_weekday_8w END AS predicted_quantity FROM base""",
+        "predicted_quantity",
+    ),
+    "chosen_model_version": """SELECT name, version, stage FROM (SELECT p_brand AS name, CAST(p_partkey AS VARCHAR) AS version, p_partkey,
+  ['None', 'Staging', 'Production'][p_size % 3 + 1] AS stage FROM part) WHERE name = 'Brand#7' AND stage <> 'None'
+ORDER BY stage, p_partkey DESC LIMIT 1""",
     "typed_csv_load": rounded(with_(*daily()) + "SELECT * FROM daily", *DAILY_DOUBLES),
     "gold_daily_sales": rounded(with_(tx(), GOLD) + "SELECT * FROM gold", *GOLD_DOUBLES),
     "gold_of_valid_rows": rounded(
@@ -719,6 +751,12 @@ FROM rows_of WHERE target_date = DATE '2001-09-03' GROUP BY target_date""",
 FROM splits WHERE least(n_left, n - n_left) >= 50 AND least(h_left, h - h_left) >= 1e-3 ORDER BY gain DESC, i, bin LIMIT 1""",
         "threshold", "gain",
     ),
+    "direct_rows_of_active": rounded(
+        with_(*direct_rows(grain="part"))
+        + """SELECT item_code, origin_date, count(*) AS rows, sum(target) AS target FROM direct
+WHERE days_since_last_sale < 9999 GROUP BY item_code, origin_date""",
+        "target",
+    ),
     "direct_newest_rows": with_(*direct_rows(56))
     + f"""SELECT origin_date, count(*) AS rows FROM (SELECT d.origin_date FROM direct d JOIN chosen c ON c.item_code = d.item_code
   ORDER BY d.origin_date DESC, d.horizon DESC, c.item_id DESC LIMIT {DIRECT.top_n * 56 * 8}) GROUP BY origin_date""",
@@ -736,13 +774,12 @@ FROM splits WHERE least(n_left, n - n_left) >= 50 AND least(h_left, h - h_left)
     ),
     "alpha_grid": rounded(
         with_(*daily(), DEMAND, profile(), CHOSEN, *baselines(), scale())
-        + f"""SELECT a AS alpha, sum(profit_weight * sqrt(mse / rmsse_denom)) / sum(profit_weight) AS wrmsse_56
-FROM (SELECT a, b.item_code, avg(({GRID_MODEL} - d.qty) ** 2) AS mse
-  FROM base b JOIN demand d ON d.item_code = b.item_code AND d.date = b.target_date
-  CROSS JOIN (SELECT unnest(generate_series(0, 20)) / 20e0 AS a) GROUP BY a, b.item_code)
-JOIN scale USING (item_code) JOIN profile USING (item_code) GROUP BY a""",
+        + ALPHA_GRID.format(model=GRID_MODEL),
         "alpha", "wrmsse_56",
     ),
+    "chosen_alpha": with_(*daily(), DEMAND, profile(), CHOSEN, *baselines(), scale(), f"grid AS MATERIALIZED ({ALPHA_GRID.format(model=GRID_MODEL)})")
+    + """SELECT coalesce((SELECT alpha FROM grid WHERE wrmsse_56 < (SELECT wrmsse_56 FROM grid WHERE alpha = 0)
+  ORDER BY wrmsse_56, alpha LIMIT 1), 0e0) AS best_alpha""",
     "recursive_median": rounded(
         with_(*daily(), DEMAND, *recursion()).replace("WITH ", "WITH RECURSIVE ", 1)
         + f"""SELECT item_code, CAST({CUT} + place AS DATE) AS target_date, place AS horizon, yhat

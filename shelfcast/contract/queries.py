@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.config import DIRECT_COLUMNS, HISTORY_COLUMNS, DirectConfig, KeyItemRule
+from shelfcast.config import DIRECT_COLUMNS, HISTORY_COLUMNS, MODEL_COLUMNS, RAW_FIELD_NAMES, DirectConfig, KeyItemRule
 from shelfcast.contract import transactions as tx
 from shelfcast.functions.text import vn_decimal
 from shelfcast.operators import baselines, blend, boosting, direct, frames, history, models, panel, postprocess, quality
@@ -21,8 +22,8 @@ from shelfcast.operators.profile import item_profile
 from shelfcast.plans import daily_model, direct_models
 from shelfcast.session import work_folder, written_table
 from shelfcast.sources.raw_csv import read_ids, read_raw, read_transactions, read_wide_forecast
-from shelfcast.sources.runs import RunStore
-from shelfcast.sources.tables import TableStore
+from shelfcast.sources.runs import FORECAST_COLUMNS, RunStore
+from shelfcast.sources.tables import TableStore, in_training_order
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,7 +122,8 @@ def csv_ingest(spark, sf):
     """Writes the text transactions as CSV, reads them back with row numbers, stores and reads the batch."""
     folder = work_folder(spark)
     text = tx.as_text(tx.typed(spark, sf), faults=True)
-    text.write.option("header", True).csv(f"{folder}/incoming")
+    kept = dict(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    text.write.options(**kept).csv(f"{folder}/incoming")
     store = TableStore(spark, folder)
     store.replace_slice("raw", read_raw(spark, f"{folder}/incoming", "batch-1"), "batch-1")
     rows = store.batch("raw", "batch-1")
@@ -132,9 +134,8 @@ def csv_ingest(spark, sf):
         F.max("source_row_number").alias("_last"),
     )
     contiguous = (F.col("_rows") == F.col("_numbers")) & (F.col("_first") == 1) & (F.col("_last") == F.col("_rows"))
-    return per_file.agg(
-        F.sum("_rows").alias("raw_rows"), F.bool_and(contiguous).alias("row_numbers_contiguous")
-    )
+    per_file = per_file.select("source_file", contiguous.alias("row_numbers_contiguous"))
+    return rows.join(per_file, "source_file").select(*RAW_FIELD_NAMES, "row_numbers_contiguous")
 
 
 def typed_csv_load(spark, sf):
@@ -240,6 +241,43 @@ def training_skus(spark, sf):
     return selection.training_items(store.read("features"), "v2")
 
 
+def _stored_gold(spark, sf) -> TableStore:
+    """Gold replaced twice, first by a batch that ends early."""
+    store, gold = TableStore(spark, work_folder(spark)), _gold(spark, sf)
+    store.replace_all("gold", gold.filter(F.col("date") <= EARLIER_END))
+    store.replace_all("gold", gold)
+    return store
+
+
+def replaced_gold(spark, sf):
+    return rounded(_stored_gold(spark, sf).gold())
+
+
+def gold_for_features(spark, sf):
+    return rounded(_stored_gold(spark, sf).gold_for_features())
+
+
+def features_in_training_order(spark, sf):
+    """Two stored versions; the keys of one of them with their place in the output order."""
+    store, gold = _stored_gold(spark, sf), _gold(spark, sf)
+    store.replace_slice("features", frames.training_frame(gold, "v0", 5), "v0")
+    store.replace_slice("features", frames.training_frame(gold, "v1", TOP), "v1")
+    # The sorted rows of a bounded frame (items x days x horizons) in one output partition, as a single file would be.
+    ordered = in_training_order(store.features("v1")).coalesce(1)
+    place = F.monotonically_increasing_id() + 1
+    return ordered.select(place.alias("place"), "target_date", "item_code", "horizon", "as_of_date")
+
+
+def model_matrix(spark, sf):
+    """Model columns of the inference frame; items outside the training lists get the id -1."""
+    gold = _gold(spark, sf)
+    listed = [selection.top_volume_items(gold, n).select("item_code") for n in (TOP, 5)]
+    ids = models.item_ids(listed[0].union(listed[1]))
+    window = selection.gold_window(gold, TRAIN_END, 730)
+    frame = frames.inference_frame(window, selection.active_items(gold, 730), TRAIN_END, 56)
+    return rounded(models.model_matrix(frame, ids, TOP).select("item_code", "horizon", *MODEL_COLUMNS))
+
+
 # -- baselines and scores -----------------------------------------------------------------------------
 
 
@@ -389,6 +427,33 @@ def hybrid_forecast_part(spark, sf):
     return rounded(_hybrid(_gold(spark, sf, "part"), TRAIN_END, 200, 100))
 
 
+def batch_forecast_run(spark, sf):
+    """The whole batch job with a stand-in model: stored gold and features, gates, published run."""
+    store, runs = _stored_gold(spark, sf), RunStore(spark, work_folder(spark))
+    daily_model.build_features(store, "v1", 10)
+    stand_in = SQLTransformer(statement="SELECT *, rolling_mean_28 AS _raw_prediction FROM __THIS__")
+    daily_model.run_batch_forecast(store, runs, stand_in, "stand_in", "1", "v1", TRAIN_END, "run-1")
+    return rounded(runs.forecasts().select("run_id", *FORECAST_COLUMNS))
+
+
+def loaded_wide_forecast(spark, sf):
+    """An approved wide file, one of its items replaced, loaded as a run."""
+    store, runs, daily = TableStore(spark, work_folder(spark)), RunStore(spark, work_folder(spark)), _daily(spark, sf)
+    store.save_csv("wide", wide.to_wide(_weekday_forecast(daily)))
+    file = written_table(read_wide_forecast(spark, store.path("exports/wide")))
+    other = baselines.baseline_forecast(daily, TRAIN_END, "mean_28").filter("item_code = 'BRAND-7'")
+    daily_model.load_wide_forecast(runs, written_table(wide.replace_items(file, other)), TRAIN_END, "run-1", "approved", "1")
+    return rounded(runs.forecasts().select("run_id", "forecast_date", "item_code", "target_date", "horizon", "predicted_quantity"))
+
+
+def chosen_model_version(spark, sf):
+    """Parts stand for versions of their brand's model."""
+    parts = spark.read.parquet(f"{sf}/part.parquet")
+    stage = F.element_at(F.array(F.lit("None"), F.lit("Staging"), F.lit("Production")), (F.col("p_size") % 3 + 1).cast("int"))
+    versions = parts.select(F.col("p_brand").alias("name"), F.col("p_partkey").cast("string").alias("version"), stage.alias("stage"))
+    return serving.choose_model_version(versions, "Brand#7")
+
+
 def source_counts(spark, sf):
     return models.source_counts(_hybrid(_gold(spark, sf), TRAIN_END))
 
@@ -501,6 +566,14 @@ def direct_dataset(spark, sf):
     return rounded(direct.direct_dataset(daily, _chosen(daily), TRAIN_END, DIRECT))
 
 
+def direct_rows_of_active(spark, sf):
+    """Rows per part and origin; parts without a sale before an origin are dropped there."""
+    daily = _daily(spark, sf, "part")
+    cfg = replace(DIRECT, filter_inactive=True)
+    rows = direct.direct_dataset(daily, direct_models.choose(item_profile(daily, TRAIN_END), cfg), TRAIN_END, cfg)
+    return rounded(rows.groupBy("item_code", "origin_date").agg(F.count(F.lit(1)).alias("rows"), F.sum("target").alias("target")))
+
+
 def direct_newest_rows(spark, sf):
     """The eight newest origins' worth of validation rows, counted per origin."""
     daily = _daily(spark, sf)
@@ -527,6 +600,12 @@ def alpha_grid(spark, sf):
     return rounded(blend.blend_grid(daily, base, model, profile, TRAIN_END))
 
 
+def chosen_alpha(spark, sf):
+    grid = written_table(alpha_grid(spark, sf))
+    alone = grid.filter("alpha = 0").first()["wrmsse_56"]
+    return spark.createDataFrame([(blend.best_alpha(grid, alone),)], "best_alpha double")
+
+
 def blended_forecast(spark, sf):
     daily = _daily(spark, sf)
     base = baselines.baseline_forecast(daily, TRAIN_END, "median_56")
@@ -698,6 +777,15 @@ QUERIES: dict[str, Query] = {
     "direct_forecast_features": direct_forecast_features,
     "sample_weights": sample_weights,
     "poisson_root_split": poisson_root_split,
+    "chosen_alpha": chosen_alpha,
+    "direct_rows_of_active": direct_rows_of_active,
+    "replaced_gold": replaced_gold,
+    "gold_for_features": gold_for_features,
+    "features_in_training_order": features_in_training_order,
+    "model_matrix": model_matrix,
+    "batch_forecast_run": batch_forecast_run,
+    "loaded_wide_forecast": loaded_wide_forecast,
+    "chosen_model_version": chosen_model_version,
     "alpha_grid": alpha_grid,
     "blended_forecast": blended_forecast,
     "recursive_median": recursive_median,

@@ -38,6 +38,39 @@ def test_a_replaced_slice_keeps_nothing_old(spark, tmp_path):
         store.replace_slice("raw", rows("b2", 1), "../b1")
 
 
+def test_a_write_that_fails_leaves_the_old_rows(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    numbers = lambda *values: spark.createDataFrame([(v,) for v in values], "x int").repartition(3)
+    with pytest.raises(ValueError, match="no such rows"):
+        store.gold()
+    store.replace_all("gold", numbers(1, 2, 3))
+    before = store.gold()
+    broken = numbers(*range(50)).withColumn("x", F.when(F.col("x") == 49, F.raise_error(F.lit("stop")).cast("int")).otherwise(F.col("x")))
+    with pytest.raises(Exception, match="stop"):
+        store.replace_all("gold", broken)
+    assert sorted(r["x"] for r in store.gold().collect()) == [1, 2, 3]
+    # A table may be replaced by rows read from itself, and readers that began earlier still find theirs.
+    store.replace_all("gold", store.gold().withColumn("x", F.col("x") * 10))
+    assert sorted(r["x"] for r in store.gold().collect()) == [10, 20, 30]
+    assert sorted(r["x"] for r in before.collect()) == [1, 2, 3]
+    for n in range(4):
+        store.replace_all("gold", numbers(n))
+    assert [r["x"] for r in store.gold().collect()] == [3]
+    assert len(list((tmp_path / "gold").glob("_version=*"))) == 3  # newest, the one before, and the broken one
+
+
+def test_text_is_numbered_without_a_shuffle(spark, tmp_path):
+    header = ",".join(RAW_COLUMNS)
+    for name in ("a.csv", "b.csv"):
+        lines = [f"2025-01-01,{i},SKU-{i}, 1,1,1,1,1" for i in range(200)]
+        (tmp_path / name).write_text("\n".join([header, *lines]) + "\n")
+    rows = read_raw(spark, str(tmp_path), "b1")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    got = sorted((r["source_file"], r["source_row_number"], r["stt_raw"]) for r in rows.collect())
+    assert got == [(f, i + 1, str(i)) for f in ("a.csv", "b.csv") for i in range(200)]
+
+
 def test_every_header_of_a_folder_is_checked(spark, tmp_path):
     good, bad = ",".join(RAW_COLUMNS), ",".join([RAW_COLUMNS[1], RAW_COLUMNS[0], *RAW_COLUMNS[2:]])
     for name, header in (("a.csv", good), ("b.csv", bad)):

@@ -16,7 +16,7 @@ from shelfcast.llm.pfair_mixing import mix_sources
 from shelfcast.llm.queries import ship_package
 from shelfcast.llm.site_quality import keep_good
 from shelfcast.llm.token_records import TOKENIZER, read_token_records, write_token_records
-from shelfcast.session import work_folder
+from shelfcast.session import work_folder, written_table
 
 ORACLE_SQL = None  # the stages learn models and write files; they are tested against brute-force versions
 
@@ -30,12 +30,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: of each group of linked documents the one with the smallest doc_id stays.
 
-    Rows without a doc_id are no document that could be linked and stay; of rows with one doc_id one stays.
+    Of different or equal rows with one doc_id one stays, that with the smallest hash of its columns. Rows without a
+    doc_id are no document that could be linked and all stay.
     """
     ship_package(spark)
-    groups = ngram_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    kept = docs.join(groups, docs["doc_id"] == groups["_copy"], "left_anti")
-    return kept
+    copies = ngram_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    copies = written_table(copies)
+    repeated = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_copy")).count().filter("count > 1").select("_copy")
+    repeated = written_table(repeated.join(copies, "_copy", "left_anti"))
+    kept = docs.join(copies.unionByName(repeated), docs["doc_id"] == F.col("_copy"), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    several = docs.join(repeated, docs["doc_id"] == F.col("_copy"), "left_semi")
+    one = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    return kept.unionByName(one.select("_row.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +67,10 @@ def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     folder = work_folder(spark)
     order = None
     if docs.inputFiles():
-        # Files are numbered in the order of the mixing stage's partitions, rows in the order within.
-        order = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+        # Files are numbered in the order of the mixing stage's partitions (the number's digits may differ), rows in the
+        # order within.
+        name = F.col("_metadata.file_name")
+        order = [F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long"), name, F.col("_metadata.row_index")]
     manifest = write_token_records(docs, folder, public_tokenizers.path(TOKENIZER), order)
     return read_token_records(manifest, folder, keep_ids=False).drop("ids")
 

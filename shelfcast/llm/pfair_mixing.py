@@ -15,8 +15,8 @@ Row numbers within a source come from range partitions with offsets, so a source
 all tasks. The number of sources must fit one array (tens of thousands).
 
 Defined results: a null source is a source of its own. Ties and repeated rows are numbered in the order of doc_id and of
-a hash of the other columns; equal rows share their place. Empty tables give empty results. Names starting with
-``_mix`` are reserved; other extra columns pass through.
+a hash of the other columns; each has a place of its own. Empty tables give empty results. Names starting with ``_mix``
+are reserved and raise; other extra columns pass through.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def block_slots(weighted: DataFrame) -> DataFrame:
 
 
 def mix_order(docs: DataFrame, weights: DataFrame | None = None, source: str = "source") -> DataFrame:
-    """(doc_id, key, source, block, slot, place) of every different row; key tells rows of one doc_id apart."""
+    """(doc_id, key, source, block, slot, place) of every row; key tells different rows of one doc_id apart."""
     others = [F.col(c) for c in docs.columns if c not in ("doc_id", source)]
     key = F.xxhash64(*others) if others else F.lit(0).cast("long")
     rows = docs.select(F.col("doc_id"), key.alias("key"), F.col(source).cast("string").alias("source"))
@@ -150,16 +150,27 @@ def mix_order(docs: DataFrame, weights: DataFrame | None = None, source: str = "
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, source: str = "source") -> DataFrame:
-    """The rows of ``docs`` in mixed order: range partitions of the schedule, sorted; written files keep that order."""
+    """The rows of ``docs`` in mixed order: range partitions of the schedule, sorted; written files keep that order.
+
+    Equal rows are one row before the shuffle, and get their own places back from the order. So a row that a third of
+    the table repeats is no large group, and its copies keep to their source's turns.
+    """
+    if taken := [c for c in docs.columns if c.startswith("_mix")]:
+        raise ValueError(f"names starting with _mix are reserved: {taken}")
     others = [F.col(c) for c in docs.columns if c not in ("doc_id", source)]
     key = F.xxhash64(*others) if others else F.lit(0).cast("long")
-    order = mix_order(docs, weights, source).groupBy(F.col("doc_id").alias("_mix_id"), F.col("key").alias("_mix_key"), F.col("source").alias("_mix_source"))
-    order = order.agg(F.min(F.struct("slot", "place")).alias("_mix_at"))
-    keyed = docs.withColumn("_mix_of", key)
-    same = F.col("_mix_id").eqNullSafe(F.col("doc_id")) & (F.col("_mix_key") == F.col("_mix_of"))
-    same = same & F.col("_mix_source").eqNullSafe(F.col(source).cast("string"))
-    placed = keyed.join(order, same)
-    return placed.repartitionByRange("_mix_at", "doc_id").sortWithinPartitions("_mix_at", "doc_id").select(*docs.columns)
+    names = ["_mix_id", "_mix_no_id", "_mix_key", "_mix_source", "_mix_no_source"]
+
+    def keys(content: Column, of: Column) -> list[Column]:
+        # Plain keys in the place of null-safe comparisons, so that grouping and join share one shuffle.
+        ids = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull()]
+        return [c.alias(n) for c, n in zip([*ids, content, F.coalesce(of, F.lit("")), of.isNull()], names)]
+
+    different = docs.select(*keys(key, F.col(source).cast("string")), F.struct(*docs.columns).alias("_mix_row"))
+    different = different.groupBy(*names).agg(F.first("_mix_row").alias("_mix_row"))
+    order = mix_order(docs, weights, source).select(*keys(F.col("key"), F.col("source")), F.struct("slot", "place").alias("_mix_at"))
+    placed = different.join(order, names).select("_mix_at", "_mix_row.*")
+    return placed.repartitionByRange("_mix_at").sortWithinPartitions("_mix_at").select(*docs.columns)
 
 
 def op10_pfair_mixing(spark, sf_dir: str) -> DataFrame:

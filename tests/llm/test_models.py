@@ -178,3 +178,17 @@ def test_pipeline_stages_and_their_effect(spark):
     # Records follow the mixed order, not the ids.
     order = mix_order(clean).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("at")).orderBy("at", "doc_id").collect()
     assert [r["doc_id"] for r in sorted(result, key=lambda r: r["start"])] == [r["doc_id"] for r in order]
+
+
+def test_one_row_of_each_doc_id_stays_in_the_pipeline(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    data = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (1, text, "fr", "s", 1), (2, text, "en", "s", 1), (None, text, "en", "s", 1),
+            (None, text, "en", "s", 1), (3, "other words here", "en", "s", 1), (4, None, None, None, None), (4, "", None, None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    one = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert one.columns == docs.columns
+    rows = [tuple(r) for r in one.collect()]
+    assert sorted((r[0] is None, r[0] or 0) for r in rows) == [(False, 1), (False, 3), (False, 4), (True, 0), (True, 0)]
+    assert all(r in data for r in rows)
+    again = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(5), SF).collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, again))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from shelfcast.llm.pfair_mixing import BLOCK_ROWS, TEMPERATURE, mix_order
+from shelfcast.llm.pfair_mixing import BLOCK_ROWS, TEMPERATURE, mix_order, mix_sources
 
 
 @pytest.mark.parametrize(
@@ -34,3 +34,20 @@ def test_every_source_is_within_one_block_of_its_given_weight(spark, sizes, weig
         done[r["source"]] += 1
         worst = max(abs(done[s] - t * shares[s] / total) for s in sizes)
         assert worst < 1 + 1e-5, (t, worst)
+
+
+def test_equal_rows_take_their_own_places(spark):
+    """320 equal rows are ten blocks in their source's turns, not ten blocks in a row."""
+    data = [(1, "same", "a")] * (10 * BLOCK_ROWS) + [(k, "other", "b") for k in range(10 * BLOCK_ROWS)] + [(None, None, None)] * 3
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    weights = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")
+    mixed = mix_sources(docs, weights)
+    assert mixed.columns == docs.columns
+    got = [tuple(r) for r in mixed.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, data))
+    taken = 0
+    for t, (_, _, source) in enumerate(got[: 20 * BLOCK_ROWS], 1):
+        taken += source == "a"
+        assert abs(taken - t / 2) <= BLOCK_ROWS
+    with pytest.raises(ValueError, match="reserved"):
+        mix_sources(docs.withColumn("_mix_at", docs["doc_id"]))

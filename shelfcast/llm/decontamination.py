@@ -3,7 +3,8 @@
 Fixed masks hash some words of a window and ignore the others, so a changed word spoils only the seeds that look at
 it. Seeds of texts are joined with seeds of the benchmark; around each hit the aligned words are compared, and a text
 is contaminated where OVERLAP_WORDS aligned words (the whole item, if shorter) agree in PERCENT of them. The masks
-find every such window with at most two changed words; the seeds of items shorter than a mask are the items.
+find every such window with at most two changed words. Shorter items have masks of their own length, each ignoring as
+many groups of words as may change, so they too are found with every allowed change.
 
 Texts are scanned once. A bitmap of the benchmark's seeds, of bounded size, rules out nearly all positions inside the
 tasks; what passes is joined exactly. A larger benchmark fills the bitmap more and sends more to the join, never less.
@@ -16,6 +17,7 @@ count once. Extra columns are ignored; an empty documents or benchmark table giv
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +36,20 @@ MAX_BITMAP_BITS = 1 << 27  # 16 MB, whatever the benchmark's size
 _BITS_PER_SEED = 64
 _LEAST_BITS = 1 << 16
 
-_WHOLE = range(MIN_ITEM_WORDS, max(map(len, MASKS)))  # items of so many words are seeds as a whole
+_PROBES = 4
+_SHORT = range(MIN_ITEM_WORDS, OVERLAP_WORDS)  # items of so many words have masks of their own
 _PLACE = np.random.default_rng(11).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 
 
+def short_masks(n: int) -> list[str]:
+    """Masks for an item of n words of which m may change: of m + 2 groups of words each ignores another m."""
+    changes = n - -(-PERCENT * n // 100)
+    groups = changes + 2
+    return ["".join("0" if i % groups in ignored else "1" for i in range(n)) for ignored in combinations(range(groups), changes)]
+
+
 def _all_masks(lengths: list[int]) -> list[str]:
-    return [*MASKS, *("1" * n for n in lengths)]
+    return [*MASKS, *(mask for n in lengths for mask in short_masks(n))]
 
 
 def _seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -58,7 +68,7 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Words(data, offsets)
             for i, (a, b) in enumerate(zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist())):
                 own = words.hashes[a:b]
-                masks = ["1" * len(own)] if len(own) in _WHOLE else MASKS if len(own) >= MIN_ITEM_WORDS else []
+                masks = short_masks(len(own)) if len(own) in _SHORT else MASKS if len(own) >= MIN_ITEM_WORDS else []
                 hashes = [_seeds(own, m) for m in masks]
                 if not hashes:
                     continue
@@ -81,27 +91,28 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _bit_places(seeds: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(n_bits - 1)
-    return seeds & mask, (seeds >> np.uint64(34)) & mask
+def _bit_places(seeds: np.ndarray, n_bits: int, probe: int) -> np.ndarray:
+    return ((seeds & np.uint64(n_bits - 1)) + np.uint64(probe) * (seeds >> np.uint64(34) | np.uint64(1))) & np.uint64(n_bits - 1)
 
 
 def seed_bitmap(seeds: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """Two bits per seed in a bitmap of at most MAX_BITMAP_BITS, and the lengths of the items that are whole seeds.
+    """_PROBES bits per seed in a bitmap of at most MAX_BITMAP_BITS, and the lengths of the short items.
 
     The driver receives words of the bitmap, already combined, so its share is bounded by the bitmap's size.
     """
     n = max(1, seeds.count())
     n_bits = int(min(MAX_BITMAP_BITS, max(_LEAST_BITS, 1 << int(n * _BITS_PER_SEED - 1).bit_length())))
     mask = F.lit(n_bits - 1)
-    bits = seeds.select(F.explode(F.array(F.col("seed").bitwiseAND(mask), F.shiftrightunsigned("seed", 34).bitwiseAND(mask))).alias("bit"))
+    first, step = F.col("seed").bitwiseAND(mask), F.shiftrightunsigned("seed", 34).bitwiseOR(F.lit(1))
+    probes = F.array(*[(first + k * step).bitwiseAND(mask) for k in range(_PROBES)])
+    bits = seeds.select(F.explode(probes).alias("bit"))
     packed = bits.groupBy(F.shiftright("bit", 5).alias("place")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 AS int))")).alias("value")
     )
     found = packed.toArrow()
     bitmap = np.zeros(n_bits // 32, np.uint32)
     bitmap[found.column("place").to_numpy()] = found.column("value").to_numpy().astype(np.uint32)
-    lengths = seeds.filter(F.col("n_item") < _WHOLE.stop).select("n_item").distinct().collect()
+    lengths = seeds.filter(F.col("n_item") < _SHORT.stop).select("n_item").distinct().collect()
     return bitmap, sorted(row["n_item"] for row in lengths)
 
 
@@ -116,8 +127,8 @@ def _scanner(shared, lengths: list[int]):
 
         def kept(seeds: np.ndarray) -> np.ndarray:
             spots = None
-            for places in _bit_places(seeds, n_bits):
-                at = places if spots is None else places[spots]
+            for probe in range(_PROBES):
+                at = _bit_places(seeds if spots is None else seeds[spots], n_bits, probe)
                 hit = np.flatnonzero((bitmap[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
                 spots = hit if spots is None else spots[hit]
             return spots

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pytest
 
 from shelfcast.llm.components import connected_components
-from shelfcast.llm.decontamination import MASKS, contaminated
+from shelfcast.llm.decontamination import MASKS, PERCENT, contaminated, short_masks
 from shelfcast.llm.ngram_jaccard import ngram_components
 from shelfcast.llm.suffix_dedup import WINDOW, minimisers, repeated_passages
 from tests.llm.corpus import empty, frame, rows, words_of
@@ -117,3 +118,25 @@ def test_contaminated_texts_equal_brute_force(spark):
     assert {900, 901, 902} <= {i for i, _ in expected}
     assert contaminated(empty(spark), spark.createDataFrame(items, "item_id long, text string")).collect() == []
     assert contaminated(docs, spark.createDataFrame([], "item_id long, text string")).collect() == []
+
+
+def test_short_items_are_found_with_every_allowed_change(spark):
+    """Items of 5 to 14 words inside texts, with every choice of as many changed words as the verifier allows, and one more."""
+    for n in range(5, 13):
+        allowed = n - math.ceil(PERCENT * n / 100)
+        for changed in combinations(range(n), allowed):
+            assert any(all(m[i] == "0" for i in changed) for m in short_masks(n)), (n, changed)
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(5, 15)}
+    docs, want = [], set()
+    for n, words in items.items():
+        size = min(n, 13)
+        allowed = size - math.ceil(PERCENT * size / 100)
+        for count in (allowed, allowed + 1):
+            for changed in combinations(range(size), count):
+                own = [f"c{len(docs)}" if k in changed else w for k, w in enumerate(words[:size])]
+                docs.append((len(docs), " ".join([f"p{len(docs)}", *own, f"q{len(docs)}"])))
+                if count == allowed:
+                    want.add((len(docs) - 1, n))
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want

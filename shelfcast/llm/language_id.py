@@ -22,7 +22,8 @@ from shelfcast.llm.byte_gru import WINDOW, label_positions, train
 from shelfcast.llm.words import text_slices
 
 TRAIN_DOCS_PER_LANGUAGE = 1500
-MAX_TRAIN_DOCS = 60_000
+MAX_TRAIN_DOCS = 60_000  # of all languages; many languages share it evenly
+MAX_LANGUAGES = 1_000  # labels learnt, the most frequent first; others are taken for noise in the column
 HIDDEN = 8
 TRAIN_ROUNDS = 250
 UNKNOWN = "und"
@@ -34,16 +35,19 @@ _SAMPLE_BUCKETS = 1 << 30
 def train_sample(docs: DataFrame, per_language: int = TRAIN_DOCS_PER_LANGUAGE) -> tuple[list[str], list]:
     """(languages, rows of (lang, window of bytes)) of a stratified sample of ``docs`` (doc_id, text, lang)."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    common = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in common.collect()}
     languages = sorted(counts)
     if not languages:
         return [], []
+    # The draws of a language vary by about their square root; a twentieth less keeps the sum below the limit.
+    per_language = min(per_language, 0.95 * MAX_TRAIN_DOCS / len(languages))
     limits = F.create_map(*[F.lit(x) for k in languages for x in (k, int(_SAMPLE_BUCKETS * min(1, per_language / counts[k])))])
     chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(_SAMPLE_BUCKETS))
     raw = F.col("text").cast("binary")
     place = F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.greatest(F.octet_length("text") - WINDOW + 1, F.lit(1)))
     window = F.substring(raw, (place + 1).cast("int"), F.lit(WINDOW))
-    picked = known.filter(chance < limits[F.col("lang")]).select("lang", window.alias("window"), chance.alias("chance"))
+    picked = known.filter(chance < F.try_element_at(limits, F.col("lang"))).select("lang", window.alias("window"), chance.alias("chance"))
     return languages, picked.orderBy("chance", "lang", "window").limit(MAX_TRAIN_DOCS).collect()
 
 

@@ -56,6 +56,19 @@ def test_language_of_held_out_documents(spark):
     assert {r["lang_pred"] for r in predict_language(frame(spark), [], {}).collect()} == {"und"}
 
 
+def test_every_one_of_many_languages_is_in_the_sample(spark, monkeypatch):
+    from shelfcast.llm import language_id
+
+    monkeypatch.setattr(language_id, "MAX_TRAIN_DOCS", 600)
+    # 50 languages, the first ones a hundred times as frequent as the last ones.
+    data = [(k * 1000 + i, f"text {k} {i}", f"l{k:02d}") for k in range(50) for i in range(1000 if k < 5 else 10)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    languages, rows = language_id.train_sample(docs)
+    drawn = Counter(r["lang"] for r in rows)
+    assert languages == sorted({r[2] for r in data}) and len(rows) <= 600
+    assert set(drawn) == set(languages) and all(drawn[f"l{k:02d}"] == 10 for k in range(5, 50))
+
+
 def test_label_model_discounts_voters_that_repeat_each_other():
     random = np.random.default_rng(1)
     truth = random.random(20_000) < 0.2

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from shelfcast.llm.pfair_mixing import BLOCK_ROWS, TEMPERATURE, mix_order, mix_sources
+from shelfcast.llm.pfair_mixing import BLOCK_ROWS, SPAN_SLOTS, TEMPERATURE, block_slots, block_windows, mix_order, mix_sources
 
 
 @pytest.mark.parametrize(
@@ -51,3 +55,43 @@ def test_equal_rows_take_their_own_places(spark):
         assert abs(taken - t / 2) <= BLOCK_ROWS
     with pytest.raises(ValueError, match="reserved"):
         mix_sources(docs.withColumn("_mix_at", docs["doc_id"]))
+
+
+def _weighted(spark, blocks, weights):
+    total = sum(weights)
+    rows = [(f"s{i:04d}", n, w / total) for i, (n, w) in enumerate(zip(blocks, weights))]
+    return spark.createDataFrame(rows, "source string, n_blocks long, weight double")
+
+
+@pytest.mark.parametrize("shape", ["few", "many tiny", "unlike", "equal", "more than a span"])
+def test_schedule_equals_earliest_deadline_first_slot_by_slot(spark, shape):
+    draw = random.Random(shape)
+    if shape == "few":
+        blocks, weights = [900, 700, 41], [5.0, 3.0, 0.2]
+    elif shape == "many tiny":  # windows over many spans
+        blocks, weights = [2_500, *[draw.randint(1, 3) for _ in range(120)]], [1.0, *[draw.uniform(1e-4, 1e-3) for _ in range(120)]]
+    elif shape == "unlike":
+        blocks, weights = zip(*[(draw.randint(1, 90), draw.paretovariate(0.6)) for _ in range(60)])
+    elif shape == "equal":  # equal deadlines everywhere
+        blocks, weights = [40] * 50, [1.0] * 50
+    else:
+        blocks, weights = zip(*[(draw.randint(1, 6), draw.uniform(0.2, 3)) for _ in range(SPAN_SLOTS + 70)])
+    weighted = _weighted(spark, blocks, weights)
+    jobs = sorted((r["ready"], r["due"], r["number"], r["block"], r["source"]) for r in block_windows(weighted).collect())
+    waiting, at, want = [], 0, []
+    for slot in range(len(jobs)):
+        while at < len(jobs) and jobs[at][0] <= slot:
+            heapq.heappush(waiting, jobs[at][1:])
+            at += 1
+        due, _, block, source = heapq.heappop(waiting)
+        assert slot < due
+        want.append((slot, source, block))
+    got = sorted((r["slot"], r["source"], r["block"]) for r in block_slots(weighted).collect())
+    assert got == want
+
+
+def test_schedule_does_not_depend_on_the_partitions(spark):
+    weighted = _weighted(spark, [300, 900, 20], [1.0, 2.0, 0.3])
+    digest = F.sum(F.xxhash64("source", "block", "slot").cast("decimal(38,0)"))
+    first = block_slots(weighted).agg(digest).first()
+    assert block_slots(weighted.repartition(7, "n_blocks")).agg(digest).first() == first

@@ -4,9 +4,13 @@ Suffixes are kept only where a word position is chosen by content: the smallest
 consecutive k-grams (minimisers). Two texts that share MIN_WORDS words share a window, hence a kept suffix.
 Kept suffixes whose k-gram occurs once are dropped; the rest are sorted as two distributed suffix arrays, by the words
 to the right and by the words to the left (range partitions on the suffix itself, so a suffix in a third of all texts
-is spread over tasks), compared with their neighbours of other texts in both, also across partitions, and matches are
-extended to the left and to the right. A match spans at most one window to either side of its suffix; the spans of a
-longer passage overlap and are merged.
+is spread over tasks), compared with their neighbours of other texts in both, and matches are extended to the left
+and to the right. A match spans at most one window to either side of its suffix; the spans of a longer passage
+overlap and are merged.
+
+The neighbours of both orders bound how many words any other text can share to either side. Where the bounds leave
+open whether a text further away shares both sides (or a neighbour lies in another partition), the windows of MIN_WORDS
+words in question are hashed in every suffix of that k-gram and equal hashes of two texts decide, so results are complete.
 
 Texts with equal word sequences are one text here; each of their documents is repeated as a whole.
 
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -32,7 +36,6 @@ MIN_WORDS = 50
 GRAM_WORDS = 12
 WINDOW = MIN_WORDS - GRAM_WORDS + 1  # k-grams; a shared passage of MIN_WORDS words holds one whole window
 REACH = WINDOW - 1  # words carried on either side of a k-gram
-WORD_BYTES = 2  # of each word's hash; k-grams themselves are compared by 64 bits
 CHUNK_ROWS = 20_000
 
 
@@ -122,6 +125,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, row, words in _each_text(batches):
         if batch is not last:
             last, keys, places = batch, batch.column("key").to_pylist(), batch.column("places").to_pylist()
+        if keys[row] != _sequence_key(words):  # another text under the same doc_id
+            continue
         spots = np.sort(np.array(places[row], np.int64))
         short = (words & np.uint64(0xFFFF)).astype(np.uint16)
         edge = np.zeros(REACH, np.uint16)
@@ -150,126 +155,109 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REACH)
 
 
-def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     same = a == b
-    return np.minimum(np.where(same.all(axis=1), REACH, same.argmin(axis=1)), most)
+    return np.where(same.all(axis=1), REACH, same.argmin(axis=1))
+
+
+def _bits(lowest: np.ndarray, highest: np.ndarray) -> np.ndarray:
+    """Numbers with the bits from lowest to highest set; 0 where there are none."""
+    high, low = np.maximum(highest + 1, 0), np.clip(lowest, 0, REACH + 1)
+    return np.where(highest >= lowest, (np.int64(1) << high) - (np.int64(1) << low), 0)
 
 
-def match_neighbours(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, start, end) of the matches of each suffix of the sorted ``table`` with its neighbours of other texts."""
+def match_neighbours(table: pa.Table, side: str) -> tuple[np.ndarray, np.ndarray]:
+    """What each suffix of ``table``, sorted by the words on ``side``, has in common with other texts: (possible, found).
+
+    Both are sets of windows of MIN_WORDS words as bits; bit l is the window that begins l words before the k-gram.
+    ``found`` are those that the nearest suffix above or below of another text holds, too. As no other text can
+    agree with more words on ``side`` than these two, windows that are not ``possible`` occur in no other text. Suffixes
+    without such a neighbour in the table may have one elsewhere: for them all windows inside the text are possible.
+    """
     gram, k = (table.column(c).to_numpy() for c in ("gram", "key"))
-    place, n_right, n_left = (table.column(c).to_numpy().astype(np.int64) for c in ("place", "n_right", "n_left"))
+    n_right, n_left = (table.column(c).to_numpy().astype(np.int64) for c in ("n_right", "n_left"))
     right, left = _matrix(table.column("right").combine_chunks()), _matrix(table.column("left").combine_chunks())
     n = len(gram)
     first = np.r_[True, k[1:] != k[:-1]]
     run = np.cumsum(first) - 1
     starts = np.flatnonzero(first)
-    before = starts[run] - 1  # the nearest row above that is of another text
-    i = np.flatnonzero(before >= 0)
-    after = np.r_[starts[1:], n][run]  # and below
-    j = np.flatnonzero(after < n)
-    a = np.concatenate([i, j])
-    b = np.concatenate([before[i], after[j]])
-    same = gram[a] == gram[b]
-    a, b = a[same], b[same]
-    r = _common(right[a], right[b], np.minimum(n_right[a], n_right[b]))
-    l = _common(left[a], left[b], np.minimum(n_left[a], n_left[b]))  # noqa: E741
-    hit = l + GRAM_WORDS + r >= MIN_WORDS
-    found = [(k[x], place[x] - l[hit], place[x] + GRAM_WORDS + r[hit]) for x in (a[hit], b[hit])]
-    return tuple(np.concatenate(c) for c in zip(*found))
-
-
-def _last_two(keys: np.ndarray) -> tuple[int, int]:
-    """Rows that begin the last run of one text and, last row only, the run before it; -1 if there is none."""
-    other = np.flatnonzero(keys != keys[-1])
-    return (int(other[-1]) + 1, int(other[-1])) if len(other) else (0, -1)
-
-
-def _ends(table: pa.Table) -> pa.Table:
-    """The last row of each of the last two texts."""
-    _, other = _last_two(table.column("key").to_numpy())
-    return table.take([x for x in (other, table.num_rows - 1) if x >= 0])
-
-
-def _heads(table: pa.Table) -> pa.Table:
-    """The first row of each of the first two texts."""
-    other = np.flatnonzero(table.column("key").to_numpy() != table.column("key")[0].as_py())
-    return table.take([0, *other[:1].tolist()])
-
-
-def _carried(table: pa.Table) -> pa.Table:
-    """What the next chunk must meet: the last text's run (its last row if it is long) and the last row before it."""
-    start, other = _last_two(table.column("key").to_numpy())
-    run = table.slice(start if table.num_rows - start < CHUNK_ROWS // 2 else table.num_rows - 1)
-    return pa.concat_tables([table.slice(other, 1), run]) if other >= 0 else run
-
-
-_MATCH = "key long, start int, stop int, edge boolean, " + ", ".join(f"e_{c}" for c in _CONTEXT.split(", "))
-
-
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes in, matches out; the first and last suffixes of the partition's two outer texts go along as edges."""
-    names = [c.split()[0] for c in _CONTEXT.split(", ")]
-    held: list[pa.Table] = []
-    rows, first = 0, None
-
-    def result(table: pa.Table, edges: list[pa.Table]) -> pa.RecordBatch:
-        key, start, stop = match_neighbours(table)
-        spans = np.unique(np.stack([key, start, stop], axis=1), axis=0)
-        n, edge = len(spans), pa.concat_tables(edges) if edges else table.slice(0, 0)
-        none = lambda t: pa.nulls(n, t)
-        m = edge.num_rows
-        columns = [
-            pa.array(np.r_[spans[:, 0], np.zeros(m, np.int64)]),
-            pa.array(np.r_[spans[:, 1], np.zeros(m, np.int64)].astype(np.int32)),
-            pa.array(np.r_[spans[:, 2], np.zeros(m, np.int64)].astype(np.int32)),
-            pa.array(np.r_[np.zeros(n, bool), np.ones(m, bool)]),
-            *(pa.concat_arrays([none(edge.column(c).type), edge.column(c).combine_chunks()]) for c in names),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["key", "start", "stop", "edge", *(f"e_{c}" for c in names)])
-
-    for batch in batches:
-        if not batch.num_rows:
+    far, found = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for other in (starts[run] - 1, np.r_[starts[1:], n][run]):
+        outside = (other < 0) | (other >= n)
+        far[outside] = REACH
+        a = np.flatnonzero(~outside)
+        a = a[gram[a] == gram[other[a]]]
+        b = other[a]
+        r, l = _common(right[a], right[b]), _common(left[a], left[b])  # noqa: E741
+        far[a] = np.maximum(far[a], r if side == "right" else l)
+        r = np.minimum(r, np.minimum(n_right[a], n_right[b]))
+        l = np.minimum(l, np.minimum(n_left[a], n_left[b]))  # noqa: E741
+        found[a] |= _bits(REACH - r, l)
+    r, l = (np.minimum(far, n_right), n_left) if side == "right" else (n_right, np.minimum(far, n_left))  # noqa: E741
+    return _bits(REACH - r, l), found
+
+
+_MATCH = "gram long, key long, place int, possible long, found long"
+
+
+def _matcher(side: str):
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def result() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            possible, found = match_neighbours(table, side)
+            kept = np.flatnonzero(possible)
+            suffix = [table.column(c).combine_chunks().take(pa.array(kept)) for c in ("gram", "key", "place")]
+            return pa.RecordBatch.from_arrays([*suffix, pa.array(possible[kept]), pa.array(found[kept])], [c.split()[0] for c in _MATCH.split(", ")])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= CHUNK_ROWS:
+                yield result()
+                held, rows = [], 0
+        if held:
+            yield result()
+
+    return match
+
+
+def _matched(array: DataFrame, side: str) -> DataFrame:
+    """Each suffix with its possible and found windows, from its neighbours in the order of the words on one side."""
+    order = ["gram", *(("right", "left") if side == "right" else ("left", "right")), "key", "place"]
+    return array.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_matcher(side), _MATCH)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the windows asked for, by text; a window asked for from several suffixes is one."""
+    last, keys, asked = None, [], []
+    for batch, row, words in _each_text(batches):
+        if batch is not last:
+            last, keys, asked = batch, batch.column("key").to_pylist(), batch.column("asked").to_pylist()
+        if keys[row] != _sequence_key(words):
             continue
-        part = pa.Table.from_batches([batch]).select(names)
-        held.append(part)
-        rows += part.num_rows
-        # The first two texts of the partition; a row of the second may come in a later batch.
-        if first is None or len(first.column("key").unique()) < 2:
-            first = _heads(part if first is None else pa.concat_tables([first, part]))
-        if rows >= CHUNK_ROWS:
-            table = pa.concat_tables(held)
-            yield result(table, [])
-            # Neighbours meet across chunks, too.
-            tail = _carried(table)
-            held, rows = [tail], tail.num_rows
-    if held:
-        table = pa.concat_tables(held)
-        yield result(table, [first, _ends(table)])
-
-
-def _orders(side: str) -> list[str]:
-    return ["gram", *(("right", "left") if side == "right" else ("left", "right")), "key", "place"]
-
-
-def _edge_matcher(side: str):
-    def match_edges(table: pa.Table) -> pa.Table:
-        names = [c.split()[0] for c in _CONTEXT.split(", ")]
-        edges = table.rename_columns([c.removeprefix("e_") for c in table.column_names]).select(names)
-        key, start, stop = match_neighbours(edges.sort_by([(c, "ascending") for c in _orders(side)]))
-        return pa.table({"key": key, "start": start.astype(np.int32), "stop": stop.astype(np.int32)})
-
-    return match_edges
-
-
-def _side_spans(array: DataFrame, side: str) -> DataFrame:
-    """(key, start, stop) of the matches of neighbours in the order of the words on one side."""
-    order = _orders(side)
-    matched = written_table(array.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_match, _MATCH))
-    # Four rows per partition of the suffix array: its ends, compared across partitions.
-    edges = matched.filter("edge").select(*[f"e_{c.split()[0]}" for c in _CONTEXT.split(", ")], F.lit(0).alias("all"))
-    met = edges.groupBy("all").applyInArrow(_edge_matcher(side), "key long, start int, stop int")
-    return matched.filter("not edge").select("key", "start", "stop").unionByName(met)
+        places, masks = (np.array([a[c] for a in asked[row]], np.int64) for c in ("place", "windows"))
+        which, offset = np.nonzero(masks[:, None] >> np.arange(WINDOW) & 1)
+        starts = np.unique(places[which] - offset)
+        for part in np.array_split(starts, len(starts) // CHUNK_ROWS + 1):
+            at = np.arange(MIN_WORDS)
+            total = mix(words[part[:, None] + at] + at.astype(np.uint64)).sum(axis=1, dtype=np.uint64)
+            columns = [pa.array(mix(total).view(np.int64)), pa.array(np.full(len(part), keys[row], np.int64)), pa.array(part.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["window", "key", "start"])
+
+
+def _same_windows(windows: DataFrame) -> DataFrame:
+    """(key, start, stop) of the windows that two texts hold."""
+    ends = windows.groupBy("window").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    shared = windows.join(ends.filter("lo <> hi").select("window"), "window", "left_semi")
+    return shared.select("key", "start", (F.col("start") + MIN_WORDS).alias("stop"))
+
+
+def _highest_bit(mask: Column) -> Column:
+    return F.length(F.bin(mask)) - 1
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -287,8 +275,28 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     wanted = wanted.join(classes.select("key", "doc_id"), "key")
     one = texts.join(wanted, "doc_id").select("text", "key", "places")
     array = written_table(one.mapInArrow(_contexts, _CONTEXT))
-    spans = _side_spans(array, "right").unionByName(_side_spans(array, "left"))
-    return _merged(spans, members, classes)
+    both = _matched(array, "right").withColumn("sides", F.lit(1)).unionByName(_matched(array, "left").withColumn("sides", F.lit(2)))
+    both = both.groupBy("gram", "key", "place").agg(
+        F.bit_and("possible").alias("possible"), F.bit_or("found").alias("found"), F.bit_or("sides").alias("sides")
+    )
+    suffixes = written_table(both.filter("sides = 3 and possible <> 0").drop("sides"))
+    # All windows of a suffix hold its k-gram, so those found are one span.
+    found, lowest = F.col("found"), F.col("found").bitwiseAND(-F.col("found"))
+    spans = suffixes.filter("found <> 0").select(
+        "key",
+        (F.col("place") - _highest_bit(found)).alias("start"),
+        (F.col("place") - _highest_bit(lowest) + MIN_WORDS).alias("stop"),
+    )
+    # Whether another text holds a window that no neighbour does is open: compare the hashes of such windows of all
+    # suffixes of that k-gram.
+    open_windows = suffixes.withColumn("open", F.expr("possible & ~found")).filter("open <> 0")
+    grams = written_table(open_windows.groupBy("gram").agg(F.bit_or("open").alias("open")))
+    asked = suffixes.join(grams, "gram").withColumn("windows", F.expr("possible & open")).filter("windows <> 0")
+    asked = asked.groupBy("key").agg(F.collect_set(F.struct("place", "windows")).alias("asked"))
+    asked = asked.join(classes.select("key", "doc_id"), "key")
+    again = texts.join(asked, "doc_id").select("text", "key", "asked")
+    windows = written_table(again.mapInArrow(_windows, "window long, key long, start int"))
+    return _merged(spans.unionByName(_same_windows(windows)), members, classes)
 
 
 def _merged(spans: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:

@@ -662,6 +662,7 @@ FROM frame CROSS JOIN (SELECT max(target_date) - 27 AS start FROM frame) b GROUP
     ),
     "feature_baseline_metrics": rounded(VALIDATION_WITH + frame_metrics(), *METRICS),
     "metrics_by_horizon": rounded(VALIDATION_WITH + frame_metrics("horizon"), *METRICS),
+    "late_actuals_metrics": rounded(VALIDATION_WITH + frame_metrics("horizon"), *METRICS),
     "metrics_by_speed_group": rounded(with_(*training(), VALIDATION, SPEED) + frame_metrics("sku_group", "grouped"), *METRICS),
     "registration_rule": rounded(
         with_(*training(), VALIDATION, f"metrics AS ({frame_metrics()})")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from shelfcast.config import DIRECT_COLUMNS, HISTORY_COLUMNS, MODEL_COLUMNS, RAW_FIELD_NAMES, DirectConfig, KeyItemRule
 from shelfcast.contract import transactions as tx
 from shelfcast.functions.text import vn_decimal
-from shelfcast.operators import baselines, blend, boosting, direct, frames, history, models, panel, postprocess, quality
+from shelfcast.operators import baselines, blend, boosting, direct, frames, history, models, monitoring, panel, postprocess, quality
 from shelfcast.operators import recursive, scoring, selection, serving, wide
 from shelfcast.operators.cleaning import explode_errors
 from shelfcast.operators.daily import gold_daily_sales, strict_daily_sales, type_transactions
@@ -336,6 +336,28 @@ def metrics_by_speed_group(spark, sf):
     return rounded(scoring.metrics_table(grouped, list(baselines.FRAME_BASELINES), ["sku_group"]))
 
 
+def late_actuals_metrics(spark, sf):
+    """D4. Each model is a run. Actuals come in three deliveries: corrections first, then what they correct, then the rest."""
+    rows = written_table(_validation(spark, sf))
+    forecasts = rows.select(
+        F.concat_ws("/", "as_of_date", "item_code").alias("key"), "horizon", "target_date", *baselines.FRAME_BASELINES
+    ).unpivot(["key", "horizon", "target_date"], list(baselines.FRAME_BASELINES), "run_id", "yhat")
+    # Several anchors forecast one day: each anchor's item is an item of its own, so that every row has its actual.
+    forecasts = forecasts.withColumnsRenamed({"key": "item_code", "target_date": "date"})
+    actuals = rows.select(
+        F.concat_ws("/", "as_of_date", "item_code").alias("item_code"), F.col("target_date").alias("date"), F.col("target_quantity").alias("quantity")
+    ).distinct()
+    kind = F.pmod(F.xxhash64("item_code", "date"), F.lit(3))
+    corrected, late = actuals.filter(kind == 0), actuals.filter(kind > 0)
+    wrong = corrected.withColumn("quantity", F.col("quantity") * 2 + 1)
+    log = monitoring.ActualsLog(spark, f"{work_folder(spark)}/actuals")
+    log.record("corrections", corrected.withColumn("revision", F.lit(2)), forecasts)
+    log.record("first values", wrong.unionByName(late.filter(kind == 1).withColumn("quantity", F.lit(7.0))).withColumn("revision", F.lit(1)), forecasts)
+    log.record("rest", late.withColumn("revision", F.lit(2)), forecasts)
+    metrics = monitoring.state_metrics(log.state(), "run_id", "horizon").withColumnRenamed("run_id", "model")
+    return rounded(metrics.drop("n"))
+
+
 def registration_rule(spark, sf):
     """The moving average takes the model's place."""
     report = scoring.evaluation_report(_validation(spark, sf), list(baselines.FRAME_BASELINES))
@@ -754,6 +776,7 @@ QUERIES: dict[str, Query] = {
     "feature_baseline_metrics": feature_baseline_metrics,
     "metrics_by_horizon": metrics_by_horizon,
     "metrics_by_speed_group": metrics_by_speed_group,
+    "late_actuals_metrics": late_actuals_metrics,
     "registration_rule": registration_rule,
     "sunday_zero": sunday_zero,
     "end_of_selling_zero": end_of_selling_zero,

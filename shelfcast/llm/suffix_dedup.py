@@ -287,10 +287,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         (F.col("place") - _highest_bit(found)).alias("start"),
         (F.col("place") - _highest_bit(lowest) + MIN_WORDS).alias("stop"),
     )
-    # Whether another text holds a window that no neighbour does is open: compare the hashes of such windows of all
-    # suffixes of that k-gram.
-    open_windows = suffixes.withColumn("open", F.expr("possible & ~found")).filter("open <> 0")
-    grams = written_table(open_windows.groupBy("gram").agg(F.bit_or("open").alias("open")))
+    # Whether another text holds a window that no neighbour does is open, unless the spans of its text hold it anyway:
+    # compare the hashes of such windows of all suffixes of that k-gram.
+    grams = written_table(_open_windows(suffixes, _islands(spans)).groupBy("gram").agg(F.bit_or("open").alias("open")))
     asked = suffixes.join(grams, "gram").withColumn("windows", F.expr("possible & open")).filter("windows <> 0")
     asked = asked.groupBy("key").agg(F.collect_set(F.struct("place", "windows")).alias("asked"))
     asked = asked.join(classes.select("key", "doc_id"), "key")
@@ -299,12 +298,33 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return _merged(spans.unionByName(_same_windows(windows)), members, classes)
 
 
-def _merged(spans: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+def _islands(spans: DataFrame) -> DataFrame:
+    """(key, start_word, end_word): spans of each text, merged where they touch."""
     seen = Window.partitionBy("key").orderBy("start", F.desc("stop"))
     before = F.max("stop").over(seen.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col("start") <= before, 0).otherwise(1)
     islands = spans.distinct().withColumn("new", new).withColumn("island", F.sum("new").over(seen))
-    merged = islands.groupBy("key", "island").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"))
+    return islands.groupBy("key", "island").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word")).drop("island")
+
+
+def _open_windows(suffixes: DataFrame, islands: DataFrame) -> DataFrame:
+    """(gram, open) of suffixes with windows that are possible, not found and not inside an island of their text."""
+    rows = suffixes.select("gram", "key", "place", F.expr("possible & ~found").alias("open"), F.lit(None).cast("int").alias("stop")).filter("open <> 0")
+    marks = islands.select(
+        F.lit(None).cast("long").alias("gram"), "key", F.col("start_word").alias("place"), F.lit(0).cast("long").alias("open"), F.col("end_word").alias("stop")
+    )
+    # Islands are disjoint and a window holds its k-gram, so only the last island that begins at or before it counts.
+    so_far = Window.partitionBy("key").orderBy("place", "open").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("gram").isNull(), F.struct(F.col("place").alias("start"), "stop")), ignorenulls=True).over(so_far)
+    both = rows.unionByName(marks).withColumn("last", last).filter("gram is not null")
+    both = both.withColumns({"lo": F.expr(f"greatest(place + {MIN_WORDS} - last.stop, 0)"), "hi": F.expr(f"least(place - last.start, {REACH})")})
+    inside = F.expr("case when last is not null and hi >= lo then shiftleft(1L, hi + 1) - shiftleft(1L, lo) else 0L end")
+    left = F.col("open").bitwiseAND(F.bitwise_not(inside))
+    return both.select("gram", left.alias("open")).filter("open <> 0")
+
+
+def _merged(spans: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    merged = _islands(spans)
     single = classes.filter("n_docs = 1").select("key", "doc_id")
     parts = merged.join(single, "key").select(
         "doc_id", F.col("start_word").cast("long"), F.col("end_word").cast("long"), F.lit(False).alias("whole")

@@ -2,7 +2,7 @@
 
 Each item carries its last 364 days as one array. A step reads features from the array, scores, blends,
 applies the rules and appends the day: no step shuffles anything. Lineage is cut by a reliable checkpoint
-every few days.
+every few days, with a model every day.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from shelfcast.operators.postprocess import SUNDAY
 from shelfcast.session import broadcast_if_bounded, reliable_checkpoint, scalar
 
 HISTORY_DAYS = max(ORIGIN_LAGS)
-CHECKPOINT_EVERY = 7
+CHECKPOINT_EVERY = 7  # days without a model
 
 
 def _history_state(daily: DataFrame, items: DataFrame, train_end: dt.date, cfg: DirectConfig) -> DataFrame:
@@ -111,10 +111,12 @@ def _roll(state: DataFrame, model, cfg: DirectConfig) -> DataFrame:
     }
     features = _step_columns()
     next_state = [moved.get(c, F.col(c)).alias(c) for c in carried]
+    # A model's input repeats the history some forty times; a second step in the same plan would repeat all of the first.
+    every = CHECKPOINT_EVERY if model is None else 1
     for step in range(1, cfg.horizon + 1):
         rows = state if model is None else model.predict(state.withColumns(features))
         state = rows.withColumn("_value", value).select(*next_state)
-        if step % CHECKPOINT_EVERY == 0 or step == cfg.horizon:
+        if step % every == 0 or step == cfg.horizon:
             state = reliable_checkpoint(state)
     kept = [c for c in ("item_code", "alpha") if c in carried]
     return state.select(*kept, F.posexplode(F.slice("hist", -cfg.horizon, cfg.horizon)).alias("_place", "yhat"))

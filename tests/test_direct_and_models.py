@@ -1,12 +1,13 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from shelfcast.config import DIRECT_COLUMNS, MODEL_COLUMNS, ORIGIN_LAGS, ORIGIN_WINDOWS, SOURCE_FALLBACK, SOURCE_MODEL, DirectConfig
-from shelfcast.operators import baselines, blend, direct, frames, models, recursive, scoring
+from shelfcast.operators import baselines, blend, boosting, direct, frames, models, recursive, scoring
 from shelfcast.operators.profile import item_profile
 from shelfcast.plans import daily_model, direct_models
 from shelfcast.session import written_table
@@ -260,6 +261,36 @@ def test_recursion_equals_a_plain_loop(spark, alpha):
             assert rows[(item, h)]["target_date"] == target
 
 
+def test_recursion_with_trees_plans_each_day_alone(spark, monkeypatch):
+    frame = daily_rows(spark, {"A": {str(START + i * DAY): i % 4 for i in range(80)}})
+    cut, n = START + 79 * DAY, len(DIRECT_COLUMNS)
+    # Both stages split on the last day's quantity, so a day depends on the forecast of the day before.
+    def trees(loss, low, high):
+        tree = boosting.Tree.empty(1)
+        tree.feature[1], tree.threshold[1], tree.value[2], tree.value[3] = DIRECT_COLUMNS.index("lag_1"), 1.0, low, high
+        return boosting.BoostedTrees(boosting.TreeSettings(loss), DIRECT_COLUMNS, 0.0, [tree])
+
+    model = models.TwoStageModel(trees("logistic", 1.0, -1.0), trees("poisson", 1.5, 0.5))
+    cfg = DirectConfig(top_n=1, horizon=2, end_of_selling_since=None, zero_sundays=False)
+    items, sizes, cut_lineage = direct_models.choose(item_profile(frame, cut), cfg), [], recursive.reliable_checkpoint
+
+    def checkpoint(state):
+        if "alpha" in state.columns:
+            sizes.append(len(state._jdf.queryExecution().optimizedPlan().toString()))
+        return cut_lineage(state)
+
+    monkeypatch.setattr(recursive, "reliable_checkpoint", checkpoint)
+    rows = by(recursive.recursive_forecast(frame, items, model, cut, cfg, 0.5), "horizon")
+    history = [float(i % 4) for i in range(80)]
+    for h in (1, 2):
+        x = np.zeros((1, n))
+        x[0, DIRECT_COLUMNS.index("lag_1")] = history[-1]
+        recent = sorted(history[-56:])
+        history.append(0.5 * float(model.classifier.predict(x)[0] * model.regressor.predict(x)[0]) + 0.25 * (recent[27] + recent[28]))
+        assert rows[h]["yhat"] == pytest.approx(history[-1])
+    assert len(sizes) == 2 and max(sizes) < 1.5 * min(sizes)
+
+
 def test_evaluation_report_json(spark, tmp_path):
     frame = spark.createDataFrame(
         [(1.0, 2.0, 0.5, CUT, "A", 1, CUT), (3.0, 2.0, 0.7, CUT, "B", 1, CUT)],

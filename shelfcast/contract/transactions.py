@@ -13,6 +13,7 @@ from shelfcast.config import RAW_COLUMNS, RAW_FIELD_NAMES
 from shelfcast.functions.numbers import loose_return, positive_part
 from shelfcast.operators.cleaning import to_bronze, to_silver
 from shelfcast.operators.daily import gold_daily_sales, strict_daily_sales, with_strict_measures
+from shelfcast.session import compile_wide_projections
 
 
 def _cents(amount: Column) -> Column:
@@ -29,6 +30,7 @@ def _item(grain: str) -> Column:
 
 def typed(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:
     """Transactions with typed columns; the part side is broadcast only if Spark measures it as small."""
+    compile_wide_projections(spark)
     used = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
             "l_returnflag", "l_shipdate"]
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*used)
@@ -58,7 +60,14 @@ def typed(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:
 def _vn_text(amount: Column) -> Column:
     """``1.234,56``: dots every three digits, comma before the cents."""
     cents = _cents(amount)
-    whole = F.translate(F.format_number(F.floor(cents / F.lit(100.0)), 0), ",", ".")
+    units = F.floor(cents / F.lit(100.0))
+    # format_number is slow; only amounts of a million and more need it.
+    thousands = F.concat(F.floor(units / 1000).cast("string"), F.lit("."), F.lpad((units % 1000).cast("string"), 3, "0"))
+    whole = (
+        F.when(units < 1000, units.cast("string"))
+        .when(units < 1_000_000, thousands)
+        .otherwise(F.translate(F.format_number(units, 0), ",", "."))
+    )
     sign = F.when(amount < 0, F.lit("-")).otherwise(F.lit(""))
     return F.concat(sign, whole, F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"))
 

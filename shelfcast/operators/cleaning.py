@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfcast.config import ERROR_LABELS
 from shelfcast.functions.numbers import loose_return, positive_part
 from shelfcast.functions.text import integer_number, iso_date, item_code, vn_decimal
+from shelfcast.session import computed_once
 
 
 def to_bronze(raw: DataFrame) -> DataFrame:
@@ -36,7 +37,10 @@ def error_reason(*checked: Column) -> Column:
 
 
 def to_silver(bronze: DataFrame) -> DataFrame:
-    """P10. Typed rows with sales and returns split; bad rows are flagged, never dropped."""
+    """P10. Typed rows with sales and returns split; bad rows are flagged, never dropped.
+
+    Every field is parsed once, also when valid or invalid rows are filtered afterwards.
+    """
     typed = bronze.select(
         "batch_id",
         "source_row_number",
@@ -52,7 +56,8 @@ def to_silver(bronze: DataFrame) -> DataFrame:
         loose_return(F.col("quantity")).alias("is_return"),
     )
     checked = ["date", "item_code", "quantity", "unit_price", "sales_amount", "unit_cost", "cost_amount"]
-    return typed.select("*", error_reason(*[F.col(c) for c in checked]).alias("error_reason")).select(
+    reason = computed_once(error_reason(*[F.col(c) for c in checked]))
+    return typed.select("*", reason.alias("error_reason")).select(
         *typed.columns,
         F.col("error_reason").isNull().alias("is_valid"),
         "error_reason",

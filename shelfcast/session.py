@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # Largest number of rows a side may have to be broadcast by a hint. Sides without a known row bound are
 # never hinted: Spark decides from their measured size.
 MAX_BROADCAST_ROWS = 100_000
+HUGE_METHOD_BYTES = 8000  # the JVM does not compile methods above; wide projections run faster split up
 
 
 def build_session(app_name: str = "shelfcast", master: str | None = None, **conf: str) -> SparkSession:
@@ -24,8 +25,7 @@ def build_session(app_name: str = "shelfcast", master: str | None = None, **conf
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        # The JVM does not compile methods above 8,000 bytes; wide projections run faster split up.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config("spark.sql.codegen.hugeMethodLimit", str(HUGE_METHOD_BYTES))
     )
     if master:
         builder = builder.master(master)
@@ -66,6 +66,21 @@ def scalar(frame: DataFrame, expression: Column) -> Column:
     return frame.select(expression).scalar()
 
 
+def computed_once(value: Column) -> Column:
+    """``value`` unchanged, in a projection that later filters stay above.
+
+    A filter is otherwise moved below the projections that its columns come from and repeats all they compute. The row
+    id is never negative, and as it is bound to the row's place, Spark leaves the projection where it is.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def compile_wide_projections(spark: SparkSession) -> None:
+    """Have projections whose code the JVM would interpret split up, also in sessions not from :func:`build_session`."""
+    if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) > HUGE_METHOD_BYTES:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD_BYTES)
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder for tables a job writes and reads back, next to the checkpoints (shared on a cluster)."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"

@@ -3,10 +3,12 @@ from pyspark.sql import functions as F
 import pytest
 
 from shelfcast.config import RAW_COLUMNS, RAW_FIELD_NAMES
+from shelfcast.contract import transactions
 from shelfcast.functions import numbers, text
-from shelfcast.operators.cleaning import to_bronze, to_silver
+from shelfcast.operators.cleaning import explode_errors, to_bronze, to_silver
 from shelfcast.operators.daily import gold_daily_sales, strict_daily_sales, type_transactions
 from shelfcast.operators.quality import GOLD_GATES, QualityError, gold_quality, require_clean
+from shelfcast.session import compile_wide_projections
 from tests.helpers import day
 
 ROWS = [
@@ -153,3 +155,34 @@ def test_amount_inference(spark):
     assert sorted(r["sales_amount"] for r in type_transactions(mixed).collect()) == [625.0, 1000.5]
     total = strict_daily_sales(type_transactions(mixed)).first()
     assert (total["sales_qty"], total["line_count"]) == (2.0, 2)
+
+
+def test_a_filter_on_silver_parses_no_field_again(spark):
+    rows = silver(spark, [ROWS[0], ("bad", "2", "", "x", "1", "1", "1", "1")])
+
+    def patterns(frame):
+        return frame._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(")
+
+    gold, errors = gold_daily_sales(rows), explode_errors(rows)
+    assert patterns(gold) <= patterns(rows) and patterns(errors) <= patterns(rows)
+    assert [(r["quantity_sold"], r["transaction_count"]) for r in gold.collect()] == [(5.0, 1)]
+    assert sorted(r["reason"] for r in errors.collect()) == ["invalid_date", "invalid_quantity", "missing_item_code"]
+
+
+def test_amounts_as_text_around_the_thousands(spark):
+    amounts = [0.0, 0.05, -0.05, 999.99, 999.996, 1000.0, -1005.5, 12_034.07, 999_999.99, 1_000_000.0, 1_234_567.89, None]
+    expected = ["0,00", "0,05", "-0,05", "999,99", "1.000,00", "1.000,00", "-1.005,50", "12.034,07", "999.999,99", "1.000.000,00", "1.234.567,89", None]
+    frame = spark.createDataFrame([(i, a) for i, a in enumerate(amounts)], "i int, amount double")
+    rows = frame.select("i", transactions._vn_text(F.col("amount")).alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in rows] == expected
+
+
+def test_wide_projections_are_split_up_in_any_session(spark):
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    try:
+        for given, kept in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set("spark.sql.codegen.hugeMethodLimit", given)
+            compile_wide_projections(spark)
+            assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == kept
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)

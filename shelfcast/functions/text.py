@@ -24,14 +24,24 @@ def trimmed(text: Column) -> Column:
 def _checked_number(text: Column) -> Column:
     """Double of a text that is a number as a whole; the check keeps out what a cast alone would take (1d, nan).
 
-    ``regexp_substr`` returns the text or null, so the text expression occurs, and runs, only once.
+    ``regexp_extract`` gives "" for other texts, which casts to null.
     """
-    return F.regexp_substr(text, F.lit(NUMBER_PATTERN)).try_cast("double")
+    return F.regexp_extract(text, NUMBER_PATTERN, 0).try_cast("double")
+
+
+def _from_digit_to_digit(text: Column) -> Column:
+    """True for a text that begins with a digit, or a minus and a digit, ends with a digit and holds no x.
+
+    There is nothing to trim then, and a cast takes no more than NUMBER_PATTERN does (no 1d, nan or 0x1p3).
+    Byte comparisons only, as most fields are like that and the pattern costs far more.
+    """
+    starts = ((text >= "0") & (text < ":")) | ((text >= "-0") & (text < "-:"))
+    return starts & F.substring(text, -1, 1).between("0", "9") & ~text.contains("x") & ~text.contains("X")
 
 
 def plain_number(text: Column) -> Column:
     """Dot-decimal text to double, null when it is not a number."""
-    return _checked_number(trimmed(text))
+    return F.when(_from_digit_to_digit(text), text.try_cast("double")).otherwise(_checked_number(trimmed(text)))
 
 
 def vn_decimal(text: Column) -> Column:
@@ -39,7 +49,9 @@ def vn_decimal(text: Column) -> Column:
 
     Dots are thousands separators and always dropped, so ``62.5`` gives 625.
     """
-    return _checked_number(F.translate(trimmed(text), ",. ", "."))
+    undotted = F.replace(F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(" "), F.lit("")), F.lit(","), F.lit("."))
+    other = _checked_number(F.translate(trimmed(text), ",. ", "."))
+    return F.when(_from_digit_to_digit(text), undotted.try_cast("double")).otherwise(other)
 
 
 def integer_number(text: Column) -> Column:
@@ -55,7 +67,10 @@ def item_code(text: Column) -> Column:
 
 def iso_date(text: Column) -> Column:
     """P3. Year-month-day text to date. One-digit months and days are fine, edge spaces are not."""
-    return F.regexp_substr(text, F.lit(DATE_PATTERN)).try_cast("date")
+    date = text.try_cast("date")
+    # The pattern keeps out what a cast alone would take (2025, 2025-09-05T); a date that is written back as the text matches it.
+    other = F.regexp_extract(text, DATE_PATTERN, 0).try_cast("date")
+    return F.when((date.cast("string") == text) & (text >= "0"), date).otherwise(other)
 
 
 def trimmed_iso_date(text: Column) -> Column:

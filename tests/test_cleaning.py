@@ -169,6 +169,41 @@ def test_a_filter_on_silver_parses_no_field_again(spark):
     assert sorted(r["reason"] for r in errors.collect()) == ["invalid_date", "invalid_quantity", "missing_item_code"]
 
 
+ODD_TEXTS = [
+    "12.345,67", "-12.345,67", "+5", "5", "-5", "0", "-0", "1d", "1f", "1D", "0x1p3", "0X1P3", "-0x1p3", "0 x.1p3", "0.x1", "nan", "NaN", "-nan", "inf",
+    "-Infinity", "1e5", "1e+5", "1e400", "-1e-400", "1E5", "1e", "1,2,3", "1-2", "--5", "-", "", " ", ".", ",", ",5", "5,", ".5", "5.", "-,5", "-.5",
+    " 5", "5 ", "\t5\t", "5\n", "5\n.", "5\n6", "1 000,5", "1\t000", ". \t5", "-.\t5", "1\x005", "\x005", "5\x00", "1\u00a0000", "\u00a05", "5\u2003",
+    "\u0665", "1\u0665", "1\u06655", "5\u0665", "1_000", "n/a", "9" * 400, "0," + "1" * 40, "007", "12.34.56", "2 5 . 0,5 0", None,
+]
+ODD_DATES = [
+    "2025-09-05", "2025-9-5", "2025-02-30", "2025-13-01", "2025", "2025-09", "2025-09-05T", "2025-09-05 10:00", "2025-9-5T1", " 2025-09-05", "2025-09-05 ",
+    "2025-9-05 ", "2025-09-05\n", "+2025-09-05", "-2025-09-05", "02025-09-05", "10000-01-01", "+10000-01-01", "0001-01-01", "0000-01-01", "1-1-1",
+    "2025-009-05", "05/09/2025", "20250905", "", "today", "epoch", "\u0662025-09-05", None,
+]
+
+
+def test_fields_equal_what_the_patterns_alone_give(spark):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS)], "i int, t string")
+    by_pattern = lambda c: F.regexp_substr(c, F.lit(text.NUMBER_PATTERN)).try_cast("double")
+    column, edged = F.col("t"), text.trimmed(F.col("t"))
+    for given, expected in (
+        (text.vn_decimal(column), by_pattern(F.translate(edged, ",. ", "."))),
+        (text.plain_number(column), by_pattern(edged)),
+    ):
+        rows = texts.select("i", given.alias("given"), expected.alias("expected")).orderBy("i").collect()
+        assert [(r["i"], repr(r["given"])) for r in rows] == [(r["i"], repr(r["expected"])) for r in rows]
+    dates = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_DATES)], "i int, t string")
+    given, expected = text.iso_date(column), F.regexp_substr(column, F.lit(text.DATE_PATTERN)).try_cast("date")
+    rows = dates.select("i", given.cast("string").alias("given"), expected.cast("string").alias("expected")).orderBy("i").collect()
+    assert [(r["i"], r["given"]) for r in rows] == [(r["i"], r["expected"]) for r in rows]
+
+
+def test_patterns_run_on_odd_fields_only(spark):
+    plan = silver(spark, ROWS)._jdf.queryExecution().optimizedPlan().toString()
+    # A pattern outside the branch for odd fields would run on every row.
+    assert plan.count("ELSE try_cast(regexp_extract(") == plan.count("regexp_extract(") > 0
+
+
 def test_amounts_as_text_around_the_thousands(spark):
     amounts = [0.0, 0.05, -0.05, 999.99, 999.996, 1000.0, -1005.5, 12_034.07, 999_999.99, 1_000_000.0, 1_234_567.89, None]
     expected = ["0,00", "0,05", "-0,05", "999,99", "1.000,00", "1.000,00", "-1.005,50", "12.034,07", "999.999,99", "1.000.000,00", "1.234.567,89", None]

@@ -127,14 +127,20 @@ def csv_ingest(spark, sf):
     store = TableStore(spark, folder)
     store.replace_slice("raw", read_raw(spark, f"{folder}/incoming", "batch-1"), "batch-1")
     rows = store.batch("raw", "batch-1")
-    per_file = rows.groupBy("source_file").agg(
+    # Distinct numbers are counted in bitmaps of a stretch of numbers each, so rows are counted where they lie.
+    number = F.col("source_row_number")
+    stretches = rows.groupBy("source_file", F.bitmap_bucket_number(number).alias("_stretch")).agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.count_distinct("source_row_number").alias("_numbers"),
-        F.min("source_row_number").alias("_first"),
-        F.max("source_row_number").alias("_last"),
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(number))).alias("_numbers"),
+        F.min(number).alias("_first"),
+        F.max(number).alias("_last"),
+    )
+    per_file = stretches.groupBy("source_file").agg(
+        F.sum("_rows").alias("_rows"), F.sum("_numbers").alias("_numbers"), F.min("_first").alias("_first"), F.max("_last").alias("_last")
     )
     contiguous = (F.col("_rows") == F.col("_numbers")) & (F.col("_first") == 1) & (F.col("_last") == F.col("_rows"))
-    per_file = per_file.select("source_file", contiguous.alias("row_numbers_contiguous"))
+    # Written, so that Spark knows how few files there are and does not shuffle all rows by file.
+    per_file = written_table(per_file.select("source_file", contiguous.alias("row_numbers_contiguous")))
     return rows.join(per_file, "source_file").select(*RAW_FIELD_NAMES, "row_numbers_contiguous")
 
 

@@ -4,6 +4,8 @@ import pytest
 
 from shelfcast.config import RAW_COLUMNS, RAW_FIELD_NAMES
 from shelfcast.contract import transactions
+from shelfcast.contract.queries import csv_ingest
+from shelfcast.contract.queries import csv_ingest
 from shelfcast.functions import numbers, text
 from shelfcast.operators.cleaning import explode_errors, to_bronze, to_silver
 from shelfcast.operators.daily import gold_daily_sales, strict_daily_sales, type_transactions
@@ -157,6 +159,28 @@ def test_amount_inference(spark):
     assert (total["sales_qty"], total["line_count"]) == (2.0, 2)
 
 
+def test_row_numbers_are_checked_without_a_shuffle_of_rows(spark, tmp_path):
+    lines = [(k // 7 + 1, k % 5 + 1, k % 7 + 1, 1.0 + k % 9, 100.0 + k, 0.05, 0.02, "R" if k % 3 == 0 else "N", day("2001-01-01")) for k in range(70)]
+    schema = "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate date"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = [(k, f"Brand#{k}", 10.0 + k) for k in range(1, 6)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    rows = csv_ingest(spark, str(tmp_path))
+    assert "Exchange hashpartitioning(source_file" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [r["row_numbers_contiguous"] for r in rows.collect()] == [True] * 70
+
+
+def test_row_numbers_are_checked_without_a_shuffle_of_rows(spark, tmp_path):
+    lines = [(k // 7 + 1, k % 5 + 1, k % 7 + 1, 1.0 + k % 9, 100.0 + k, 0.05, 0.02, "R" if k % 3 == 0 else "N", day("2001-01-01")) for k in range(70)]
+    schema = "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate date"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = [(k, f"Brand#{k}", 10.0 + k) for k in range(1, 6)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    rows = csv_ingest(spark, str(tmp_path))
+    assert "Exchange hashpartitioning(source_file" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [r["row_numbers_contiguous"] for r in rows.collect()] == [True] * 70
+
+
 def test_a_filter_on_silver_parses_no_field_again(spark):
     rows = silver(spark, [ROWS[0], ("bad", "2", "", "x", "1", "1", "1", "1")])
 

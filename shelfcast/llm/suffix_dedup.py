@@ -252,7 +252,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _same_windows(windows: DataFrame) -> DataFrame:
     """(key, start, stop) of the windows that two texts hold."""
     ends = windows.groupBy("window").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-    shared = windows.join(ends.filter("lo <> hi").select("window"), "window", "left_semi")
+    # Written like the repeated k-grams: few shared windows are broadcast, and of many a very common one can be split.
+    held = written_table(ends.filter("lo <> hi").select("window"))
+    shared = windows.join(held, "window", "left_semi")
     return shared.select("key", "start", (F.col("start") + MIN_WORDS).alias("stop"))
 
 

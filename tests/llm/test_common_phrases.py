@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from shelfcast.llm.suffix_dedup import _grams, repeated_passages
+from shelfcast.llm.suffix_dedup import _grams, _same_windows, repeated_passages
 from shelfcast.llm.words import Words
 
 
@@ -35,3 +35,13 @@ def test_passage_to_the_left_of_a_footer_of_all_texts(spark):
     finally:
         spark.conf.unset(setting)
     assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == {(0, 1, 66), (4001, 1, 66)}
+
+
+def test_a_window_of_very_many_texts_is_not_dealt_to_one_task(spark):
+    rows = [(7, key, 3) for key in range(2000)] + [(100 + key, key, 9) for key in range(2000)] + [(7, 5, 40), (8, 5, 60), (8, 5, 80)]
+    windows = spark.createDataFrame(rows, "window long, key long, start int")
+    same = _same_windows(windows)
+    got = sorted(tuple(r) for r in same.collect())
+    assert got == sorted([(key, 3, 53) for key in range(2000)] + [(5, 40, 90)])
+    # The shared windows are few: no exchange brings all rows of one of them together.
+    assert "hashpartitioning(window" not in same._jdf.queryExecution().executedPlan().toString()

@@ -10,7 +10,8 @@ overlap and are merged.
 
 The neighbours of both orders bound how many words any other text can share to either side. Where the bounds leave
 open whether a text further away shares both sides (or a neighbour lies in another partition), the windows of MIN_WORDS
-words in question are hashed in every suffix of that k-gram and equal hashes of two texts decide, so results are complete.
+words in question are hashed in the suffixes of that k-gram and equal hashes of two texts decide, so results are complete.
+Suffixes with the same words all around hold the same windows: those of two texts stand for all of them.
 
 Texts with equal word sequences are one text here; each of their documents is repeated as a whole.
 
@@ -120,7 +121,7 @@ def _rows_of_bytes(values: np.ndarray) -> pa.Array:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per kept suffix: its k-gram, and the words on either side of it nearest first, 16 bits of hash each."""
+    """Per kept suffix: its k-gram, the words on either side of it nearest first, 16 bits of hash each, and a hash of them all."""
     last, keys, places = None, [], []
     for batch, row, words in _each_text(batches):
         if batch is not last:
@@ -128,9 +129,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if keys[row] != _sequence_key(words):  # another text under the same doc_id
             continue
         spots = np.sort(np.array(places[row], np.int64))
-        short = (words & np.uint64(0xFFFF)).astype(np.uint16)
-        edge = np.zeros(REACH, np.uint16)
-        padded = np.concatenate([edge, short, edge])
+        edge = np.zeros(REACH, np.uint64)
+        whole = np.concatenate([edge, words, edge])
+        around = np.zeros(len(spots), np.uint64)
+        for j in (*range(REACH), *range(REACH + GRAM_WORDS, 2 * REACH + GRAM_WORDS)):
+            around += mix(whole[spots + j] + np.uint64(j))
+        padded = (whole & np.uint64(0xFFFF)).astype(np.uint16)
         right = padded[spots[:, None] + REACH + GRAM_WORDS + np.arange(REACH)]
         left = padded[spots[:, None] + REACH - 1 - np.arange(REACH)]
         n = len(spots)
@@ -143,12 +147,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(spots.astype(np.int32)),
                 pa.array(np.minimum(REACH, len(words) - spots - GRAM_WORDS).astype(np.int32)),
                 pa.array(np.minimum(REACH, spots).astype(np.int32)),
+                pa.array(mix(around).view(np.int64)),
             ],
             [c.split()[0] for c in _CONTEXT.split(", ")],
         )
 
 
-_CONTEXT = "gram long, right binary, left binary, key long, place int, n_right int, n_left int"
+_CONTEXT = "gram long, right binary, left binary, key long, place int, n_right int, n_left int, around long"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -197,7 +202,7 @@ def match_neighbours(table: pa.Table, side: str) -> tuple[np.ndarray, np.ndarray
     return _bits(REACH - r, l), found
 
 
-_MATCH = "gram long, key long, place int, possible long, found long"
+_MATCH = "gram long, key long, place int, around long, possible long, found long"
 
 
 def _matcher(side: str):
@@ -209,7 +214,7 @@ def _matcher(side: str):
             table = pa.Table.from_batches(held)
             possible, found = match_neighbours(table, side)
             kept = np.flatnonzero(possible)
-            suffix = [table.column(c).combine_chunks().take(pa.array(kept)) for c in ("gram", "key", "place")]
+            suffix = [table.column(c).combine_chunks().take(pa.array(kept)) for c in ("gram", "key", "place", "around")]
             return pa.RecordBatch.from_arrays([*suffix, pa.array(possible[kept]), pa.array(found[kept])], [c.split()[0] for c in _MATCH.split(", ")])
 
         for batch in batches:
@@ -278,7 +283,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     one = texts.join(wanted, "doc_id").select("text", "key", "places")
     array = written_table(one.mapInArrow(_contexts, _CONTEXT))
     both = _matched(array, "right").withColumn("sides", F.lit(1)).unionByName(_matched(array, "left").withColumn("sides", F.lit(2)))
-    both = both.groupBy("gram", "key", "place").agg(
+    both = both.groupBy("gram", "key", "place", "around").agg(
         F.bit_and("possible").alias("possible"), F.bit_or("found").alias("found"), F.bit_or("sides").alias("sides")
     )
     suffixes = written_table(both.filter("sides = 3 and possible <> 0").drop("sides"))
@@ -290,9 +295,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         (F.col("place") - _highest_bit(lowest) + MIN_WORDS).alias("stop"),
     )
     # Whether another text holds a window that no neighbour does is open, unless the spans of its text hold it anyway:
-    # compare the hashes of such windows of all suffixes of that k-gram.
-    grams = written_table(_open_windows(suffixes, _islands(spans)).groupBy("gram").agg(F.bit_or("open").alias("open")))
-    asked = suffixes.join(grams, "gram").withColumn("windows", F.expr("possible & open")).filter("windows <> 0")
+    # compare the hashes of such windows.
+    undecided = written_table(_open_windows(suffixes, _islands(spans)))
+    grams = written_table(undecided.groupBy("gram").agg(F.bit_or("open").alias("open")))
+    asked = _holders(suffixes, grams).unionByName(undecided.select("key", "place", F.col("open").alias("windows")))
     asked = asked.groupBy("key").agg(F.collect_set(F.struct("place", "windows")).alias("asked"))
     asked = asked.join(classes.select("key", "doc_id"), "key")
     again = texts.join(asked, "doc_id").select("text", "key", "asked")
@@ -309,8 +315,21 @@ def _islands(spans: DataFrame) -> DataFrame:
     return islands.groupBy("key", "island").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word")).drop("island")
 
 
+def _holders(suffixes: DataFrame, grams: DataFrame) -> DataFrame:
+    """(key, place, windows) of suffixes that may hold an open window of their k-gram; two texts for each context.
+
+    A text that shares a window has it found, inside an island or open itself; for the others it is enough to know two of the
+    texts that hold it.
+    """
+    seat = F.struct("key", "place")
+    contexts = suffixes.groupBy("gram", "around").agg(F.min(seat).alias("lo"), F.max(seat).alias("hi"), F.bit_or("possible").alias("possible"))
+    held = contexts.join(grams, "gram").withColumn("windows", F.expr("possible & open")).filter("windows <> 0")
+    seats = F.when(F.col("lo.key") == F.col("hi.key"), F.array("lo")).otherwise(F.array("lo", "hi"))
+    return held.select(F.explode(seats).alias("seat"), "windows").select("seat.key", "seat.place", "windows")
+
+
 def _open_windows(suffixes: DataFrame, islands: DataFrame) -> DataFrame:
-    """(gram, open) of suffixes with windows that are possible, not found and not inside an island of their text."""
+    """(gram, key, place, open) of suffixes with windows that are possible, not found and not inside an island of their text."""
     rows = suffixes.select("gram", "key", "place", F.expr("possible & ~found").alias("open"), F.lit(None).cast("int").alias("stop")).filter("open <> 0")
     marks = islands.select(
         F.lit(None).cast("long").alias("gram"), "key", F.col("start_word").alias("place"), F.lit(0).cast("long").alias("open"), F.col("end_word").alias("stop")
@@ -322,7 +341,7 @@ def _open_windows(suffixes: DataFrame, islands: DataFrame) -> DataFrame:
     both = both.withColumns({"lo": F.expr(f"greatest(place + {MIN_WORDS} - last.stop, 0)"), "hi": F.expr(f"least(place - last.start, {REACH})")})
     inside = F.expr("case when last is not null and hi >= lo then shiftleft(1L, hi + 1) - shiftleft(1L, lo) else 0L end")
     left = F.col("open").bitwiseAND(F.bitwise_not(inside))
-    return both.select("gram", left.alias("open")).filter("open <> 0")
+    return both.select("gram", "key", "place", left.alias("open")).filter("open <> 0")
 
 
 def _merged(spans: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:

@@ -6,8 +6,11 @@ import random
 
 import numpy as np
 
+from shelfcast.llm import suffix_dedup
 from shelfcast.llm.suffix_dedup import _grams, _same_windows, repeated_passages
 from shelfcast.llm.words import Words
+from shelfcast.session import written_table
+from tests.llm.test_complete_passages import brute_force
 
 
 def _all_grams(words: list[str]) -> np.ndarray:
@@ -45,3 +48,25 @@ def test_a_window_of_very_many_texts_is_not_dealt_to_one_task(spark):
     assert got == sorted([(key, 3, 53) for key in range(2000)] + [(5, 40, 90)])
     # The shared windows are few: no exchange brings all rows of one of them together.
     assert "hashpartitioning(window" not in same._jdf.queryExecution().executedPlan().toString()
+
+
+def test_suffixes_with_the_same_words_all_around_are_hashed_for_two_texts(spark, monkeypatch):
+    rng = random.Random(11)
+    free = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    passage = free(160)
+    # Some hold only a part of the passage, with words that leave windows open; very many hold all of it.
+    parts = [free(5) + passage[74 - rng.randint(0, 45) : 86 + rng.randint(0, 45)] + free(5) for _ in range(30)]
+    texts = [*parts, *(free(20) + passage + free(20) for _ in range(150))]
+    hashed = []
+
+    def counted(frame):
+        table = written_table(frame)
+        if "window" in table.columns and "key" in table.columns:
+            hashed.append(table.count())
+        return table
+
+    monkeypatch.setattr(suffix_dedup, "written_table", counted)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in repeated_passages(docs).collect()}
+    assert got == brute_force(dict(enumerate(texts)))
+    assert len(hashed) == 1 and 0 < hashed[0] < 1000

@@ -30,18 +30,28 @@ def _checked_number(text: Column) -> Column:
 
 
 def _from_digit_to_digit(text: Column) -> Column:
-    """True for a text that begins with a digit, or a minus and a digit, ends with a digit and holds no x.
+    """True for a text that begins with a digit, or a minus and a digit, ends with a digit and holds no x after a leading 0.
 
     There is nothing to trim then, and a cast takes no more than NUMBER_PATTERN does (no 1d, nan or 0x1p3).
     Byte comparisons only, as most fields are like that and the pattern costs far more.
     """
     starts = ((text >= "0") & (text < ":")) | ((text >= "-0") & (text < "-:"))
-    return starts & F.substring(text, -1, 1).between("0", "9") & ~text.contains("x") & ~text.contains("X")
+    not_zero = ((text >= "1") & (text < ":")) | ((text >= "-1") & (text < "-:"))
+    return starts & F.substring(text, -1, 1).between("0", "9") & (not_zero | (~text.contains("x") & ~text.contains("X")))
+
+
+def _number(text: Column, plain: Column, odd: Column) -> Column:
+    """Double of ``plain`` where ``text`` goes from digit to digit, else of ``odd`` where that is a number.
+
+    What is no number is not cast: a cast that fails makes an exception, which costs more than the pattern.
+    """
+    number = F.when(_from_digit_to_digit(text), plain.try_cast("double")).when(~odd.rlike(NUMBER_PATTERN), F.lit(None))
+    return number.otherwise(_checked_number(odd))
 
 
 def plain_number(text: Column) -> Column:
     """Dot-decimal text to double, null when it is not a number."""
-    return F.when(_from_digit_to_digit(text), text.try_cast("double")).otherwise(_checked_number(trimmed(text)))
+    return _number(text, text, trimmed(text))
 
 
 def vn_decimal(text: Column) -> Column:
@@ -50,8 +60,7 @@ def vn_decimal(text: Column) -> Column:
     Dots are thousands separators and always dropped, so ``62.5`` gives 625.
     """
     undotted = F.replace(F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(" "), F.lit("")), F.lit(","), F.lit("."))
-    other = _checked_number(F.translate(trimmed(text), ",. ", "."))
-    return F.when(_from_digit_to_digit(text), undotted.try_cast("double")).otherwise(other)
+    return _number(text, undotted, F.translate(trimmed(text), ",. ", "."))
 
 
 def integer_number(text: Column) -> Column:

@@ -245,3 +245,14 @@ def test_wide_projections_are_split_up_in_any_session(spark):
             assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == kept
     finally:
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
+
+
+def test_fields_that_are_no_numbers_are_told_without_a_failing_cast(spark):
+    given = {
+        "n/a": None, "": None, "0x1p3": None, "-0X1p3": None, "0.x1p3": None, "1x5": None, "1 0x1": None, "5d": None,
+        "1e5": 1e5, "-1.234,50": -1234.5, "0,05": 0.05, " 12 ": 12.0, "12\n.": 12.0, "inf": float("inf"), "-": None,
+    }
+    frame = spark.createDataFrame(list(enumerate(given)), "i int, v string").select("i", text.vn_decimal(F.col("v")).alias("x"))
+    assert [r["x"] for r in frame.orderBy("i").collect()] == list(given.values())
+    # Only what the pattern takes is cast: a cast that fails makes an exception for each field.
+    assert "RLIKE" in frame._jdf.queryExecution().analyzed().toString()
